@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fidelmill.runtime import ship
+
 #: Rows of a side that may be broadcast; a larger side is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -19,8 +21,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep an Arrow batch small: some texts are very long."""
+    """Keep an Arrow batch small (some texts are very long), and let workers find the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:

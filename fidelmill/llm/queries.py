@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelmill.llm import bitpack, counts, mixing, packing
+from fidelmill.llm import bitpack, counts, mixing, ngram, packing, pivots
 from fidelmill.llm.common import load
 from fidelmill.llm.tokens import tokenizer_path
 
@@ -17,6 +17,14 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op6_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.join_classes(load(spark, sf_dir, "documents"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = bitpack.write_ids(load(spark, sf_dir, "documents"), path=tokenizer_path("byte_bpe_50k.json"), vocabulary=50_257, end_id=0)
     return bitpack.read_ids(spark, folder, manifest)
@@ -32,6 +40,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op6_pivots": op6_pivots,
+    "op7_ngram_join": op7_ngram_join,
     "op8_token_ids": op8_token_ids,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
