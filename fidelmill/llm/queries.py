@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelmill.llm import bitpack, counts, mixing, ngram, packing, pivots
+from fidelmill.llm import bitpack, counts, langid, mixing, ngram, packing, pivots, toxicity
 from fidelmill.llm.common import load
 from fidelmill.llm.tokens import tokenizer_path
 
@@ -17,6 +17,14 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(load(spark, sf_dir, "documents"))
+
+
 def op6_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(load(spark, sf_dir, "embeddings"))
 
@@ -40,6 +48,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op3_toxicity": op3_toxicity,
+    "op5_language": op5_language,
     "op6_pivots": op6_pivots,
     "op7_ngram_join": op7_ngram_join,
     "op8_token_ids": op8_token_ids,
