@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelmill.llm import bitpack, counts, langid, mixing, ngram, packing, pivots, toxicity
+from fidelmill.llm import bitpack, counts, html, langid, media, mixing, ngram, packing, pivots, toxicity
 from fidelmill.llm.common import load
 from fidelmill.llm.tokens import tokenizer_path
 
@@ -17,10 +17,18 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(load(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(load(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(load(spark, sf_dir, "documents"))
 
@@ -48,7 +56,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_main_text": op2_main_text,
     "op3_toxicity": op3_toxicity,
+    "op4_media": op4_media,
     "op5_language": op5_language,
     "op6_pivots": op6_pivots,
     "op7_ngram_join": op7_ngram_join,
