@@ -164,14 +164,13 @@ def write_ids(docs: DataFrame, *, path: str, vocabulary: int, end_id: int, chunk
     folder = folder or new_dir(spark, "token-ids")
 
     def encode():
-        end = np.asarray([end_id], "<u4").tobytes()
         squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def handle(batch):
             ids = encoder(path, chunks).encode(texts(batch))
             doc = column(batch, "doc_id").cast(pa.int64())
             at = np.asarray([-np.inf if x is None else x for x in doc.to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, at, "right"), pa.int32()), doc, pa.array([squeeze(narrow(x + end)) for x in ids], pa.binary())], names=["shard", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, at, "right"), pa.int32()), doc, pa.array([squeeze(narrow(np.append(x, np.uint32(end_id)))) for x in ids], pa.binary())], names=["shard", "doc_id", "ids"])
 
         return handle
 

@@ -116,20 +116,19 @@ def tokenized(docs: DataFrame, path: str, chunks: str, end_id: int, queues: dict
 
         part = TaskContext.get().partitionId()
         had: dict[int, int] = {}
-        end = np.asarray([end_id], "<u4").tobytes()
         squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def handle(batch):
-            ids = [x + end for x in encoder(path, chunks).encode(texts(batch))]
+            ids = [np.append(x, np.uint32(end_id)) for x in encoder(path, chunks).encode(texts(batch))]
             sources = column(batch, "source").to_pylist()
             queue = [queues[s] if queues is not None else zlib.crc32((s or "").encode()) % MAX_QUEUES for s in sources]
             at = []
             for q, x in zip(queue, ids):
                 at.append(had.get(q, 0))
-                had[q] = at[-1] + len(x) // 4
+                had[q] = at[-1] + len(x)
             size = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id").cast(pa.int64()), pa.array(queue, pa.int32()), pa.array([part] * size, pa.int32()), pa.array(at, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(squeeze, map(narrow, ids)), pa.binary())],
+                [column(batch, "doc_id").cast(pa.int64()), pa.array(queue, pa.int32()), pa.array([part] * size, pa.int32()), pa.array(at, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(map(squeeze, map(narrow, ids)), pa.binary())],
                 names=["doc_id", "queue", "part", "at", "n", "ids"],
             )
 
@@ -138,10 +137,9 @@ def tokenized(docs: DataFrame, path: str, chunks: str, end_id: int, queues: dict
     return saved(arrow_map(docs.select("doc_id", "source", "text"), make, "doc_id long, queue int, part int, at long, n long, ids binary"), "pack-tokens")
 
 
-def narrow(ids: bytes) -> bytes:
-    """32-bit ids as 16-bit ones behind a flag byte where all fit."""
-    wide = np.frombuffer(ids, "<u4")
-    return b"\x02" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 65536 else b"\x04" + ids
+def narrow(ids: np.ndarray) -> bytes:
+    """32-bit ids as bytes behind a flag, in 16 bits each where all fit."""
+    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 65536 else b"\x04" + ids.astype("<u4").tobytes()
 
 
 def widen(raw: bytes) -> np.ndarray:

@@ -1,10 +1,10 @@
-"""Token ids of whole texts, with a bounded cache of word pieces per Python worker.
+"""Token ids of whole texts, with a bounded table of words per Python worker.
 
 Both tokenizers used here never let a token reach from a non-space over a
 following space, so a text's ids are the ids of its space-led chunks in a row.
 Chunks repeat, whole texts seldom do: each worker encodes a chunk once and
-keeps its ids as bytes. Texts with unusual spaces or controls, where the two
-libraries could disagree about what a space is, go to the tokenizer whole.
+keeps its ids. Texts with unusual spaces or controls, where libraries could
+disagree about what a space is, go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -14,17 +14,16 @@ import re
 
 import numpy as np
 
-#: Chunks kept per worker and tokenizer file; the cache is emptied beyond that.
-CACHE_CHUNKS = 800_000
+from fidelmill.llm.wordtable import Flat, Words, plain_words, runs, spaced_words
+
 #: Spaces beyond ASCII's, and controls that Python alone counts as space.
-ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-BYTE_CHUNKS = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
+ODD = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 
 class Encoder:
-    """``encode(texts)`` gives for each text its ids as little-endian unsigned 32-bit bytes.
+    """``encode(texts)`` gives the ids of each text as an array of unsigned 32-bit integers.
 
     ``chunks`` is "byte" for a byte-level BPE whose chunks keep their leading
     space, or "word" for one that drops space and case. New chunks are encoded
@@ -40,49 +39,56 @@ class Encoder:
         self.by_byte = chunks == "byte"
         self.between = "\n" if self.by_byte else " \x00 "
         (self.mark,) = self._ids(self.between)
-        self.cache: dict[bytes, bytes] = {}
+        self.words = Words(spaced_words if self.by_byte else plain_words, self._learn, self._forget)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids, self.start = Flat("<u4"), Flat(np.int64)
+        self.start.extend(np.zeros(1, np.int64))
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self._ids(text), "<u4").tobytes()
-
-    def chunks(self, text: str) -> list[bytes] | None:
-        if ODD.search(text):
-            return None
-        raw = text.encode("utf-8", "replace")
-        return BYTE_CHUNKS.findall(raw) if self.by_byte else raw.lower().split()
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self._ids(text), "<u4")
 
     def _learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if b"\x00" not in w and not w.isspace()]
-        for at in range(0, len(plain), 50_000):
-            some = plain[at : at + 50_000]
-            ids = np.asarray(self._ids(self.between.join(w.decode() for w in some)), "<u4")
+        """Keeps the ids of new chunks, in their order."""
+        for at in range(0, len(new), 50_000):
+            some = new[at : at + 50_000]
+            odd = [w.isspace() for w in some]
+            ids = self.whole(self.between.join("x" if o else w.decode() for w, o in zip(some, odd)))
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(some) - 1:  # the separator's id occurs in a chunk
-                self.cache.update((w, self.whole(w.decode())) for w in some)
-                continue
-            raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
-            start = 0
-            for w, end in zip(some, ends):
-                self.cache[w] = raw[start:end]
-                start = end + 4
-        for w in new:
-            if w not in self.cache:
-                self.cache[w] = self.whole(w.decode())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        parts = [self.chunks(t) for t in texts]
-        new: set[bytes] = set()
-        for p in parts:
-            if p:
-                new.update(p)
-        self._learn([w for w in new if w not in self.cache])
-        get = self.cache.__getitem__
-        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
+                each = [self.whole(w.decode()) for w in some]
+                self.ids.extend(np.concatenate(each))
+                sizes = np.array([len(x) for x in each])
+            else:
+                sizes = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+                kept = np.ones(len(ids), bool)
+                kept[cuts] = False
+                ids = ids[kept]
+                if any(odd):
+                    each = np.split(ids, np.cumsum(sizes)[:-1])
+                    each = [self.whole(w.decode()) if o else x for w, o, x in zip(some, odd, each)]
+                    ids, sizes = np.concatenate(each), np.array([len(x) for x in each])
+                self.ids.extend(ids)
+            self.start.extend(self.start.data[self.start.n - 1] + np.cumsum(sizes))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        odd = {i: self.whole(t) for i, t in enumerate(texts) if ODD.search(t)}
+        raw = [b"" if i in odd else t.encode() for i, t in enumerate(texts)]
+        if not self.by_byte:
+            raw = [r.lower() for r in raw]
+        out: list[np.ndarray] = []
+        for a, b in runs(raw):
+            entry, begin = self.words.entries(raw[a:b])
+            start = self.start.data[entry]
+            size = self.start.data[entry + 1] - start
+            upto = np.concatenate([[0], np.cumsum(size)])
+            ids = self.ids.data[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
+            out += np.split(ids, upto[begin[1:-1]])
+        return [odd.get(i, x) for i, x in enumerate(out)]
 
 
 def encoder(path: str, chunks: str) -> Encoder:
