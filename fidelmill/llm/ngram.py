@@ -42,39 +42,18 @@ from pyspark.sql import functions as F
 
 from fidelmill.llm.common import arrow_map, column, drop_dir, new_dir, saved, small, texts, tune
 from fidelmill.llm.graph import components
+from fidelmill.llm.wordtable import BASE, INVERSE, U, mixed, powers
 
 WORDS = 5
 #: Documents from which a token is heavy, and the most tokens that may be.
 HEAVY, MAX_HEAVY = 32, 1_000_000
 #: Bytes of text a range of the frequency count holds, and tokens a task gathers before it sends.
-RANGE_BYTES, FLUSH = 32 << 20, 2_000_000
+RANGE_BYTES, FLUSH = 16 << 20, 1_000_000
 #: Rows of a block of a heavy list.
 BLOCK = 512
 #: Multipliers of the further orders.
 ORDERS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
-U = np.uint64
-BASE, INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = [np.ones(1, U), np.ones(1, U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse mod 2^64, at least ``n`` of each."""
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
-        for i, b in enumerate((BASE, INVERSE)):
-            a = np.full(n, b, U)
-            a[0] = 1
-            _powers[i] = np.multiply.accumulate(a)
-    return _powers[0], _powers[1]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 def normalized(text: str) -> bytes:
     return b" ".join(text.encode("utf-8", "replace").lower().split())
 
@@ -391,14 +370,14 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
+    """The pairs (a, b) that are links. Batches are small, and sets are read where they lie."""
     sets = saved(sets_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
 
     def make():
         def handle(batch):
-            ok = [similar(np.frombuffer(x, U), np.frombuffer(y, U), percent) for x, y in zip(column(batch, "x").to_pylist(), column(batch, "y").to_pylist())]
-            ok = pa.array(ok, pa.bool_())
+            read = lambda cell: np.frombuffer(cell.as_buffer(), U)
+            ok = pa.array([similar(read(x), read(y), percent) for x, y in zip(column(batch, "x"), column(batch, "y"))], pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(ok), column(batch, "b").filter(ok)], names=["u", "v"])
 
         return handle
@@ -417,7 +396,7 @@ def forest(link: np.ndarray) -> np.ndarray:
         label = new
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among a cell's documents."""
     n = np.array([len(s) for s in sets])
     tok, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
@@ -440,6 +419,25 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perce
     return [(int(ids[i]), int(ids[j])) for i, j in enumerate(label) if i != j and ids[i] != ids[j]]
 
 
+def cells_of(rows: DataFrame) -> DataFrame:
+    """heavy (cell number), doc_id, blocks: the lists as they are, or whole families of lists where that sends fewer sets.
+
+    Lists of one family hold much the same documents. A family that shared
+    documents connect is one cell if its documents times its blocks are fewer
+    than the rows of its lists times theirs, so the cells are never more.
+    """
+    least = rows.groupBy("heavy").agg(F.min("doc_id").alias("m"))
+    family = components(rows.join(least, "heavy").where("doc_id > m").select("doc_id", "m").distinct(), "doc_id", "m")
+    rows = rows.join(family, rows["doc_id"] == family["node"]).select("heavy", "doc_id", "blocks", F.col("component").alias("family"))
+    whole = rows.groupBy("family", "doc_id").agg(F.sum("blocks").alias("cost"))
+    sizes = whole.groupBy("family").agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("docs")).withColumn("needs", F.ceil(F.col("docs") / BLOCK).cast("int"))
+    cheap = sizes.where(F.col("docs") * F.col("needs") <= F.col("cost"))
+    dear = sizes.where(F.col("docs") * F.col("needs") > F.col("cost")).select("family")
+    # numbers of families and of lists may meet: the flag keeps them apart
+    one = whole.join(cheap.select("family", "needs"), "family").select(F.col("family").alias("heavy"), F.lit(True).alias("is_family"), "doc_id", F.col("needs").alias("blocks"))
+    return one.union(rows.join(dear, "family").select("heavy", F.lit(False).alias("is_family"), "doc_id", "blocks"))
+
+
 def heavy_links(docs: DataFrame, rows: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links of heavy lists that are more than one component, block against block."""
     comp = components(links)
@@ -447,32 +445,33 @@ def heavy_links(docs: DataFrame, rows: DataFrame, links: DataFrame, percent: int
     rows = rows.groupBy("heavy", "h").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     rows = rows.join(comp, rows["doc_id"] == comp["node"], "left").select("heavy", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
     lists = rows.groupBy("heavy").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("heavy", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = saved(rows.join(lists, "heavy").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "heavy-rows")
+    rows = saved(rows.join(lists, "heavy").select("heavy", "doc_id", "blocks"), "heavy-rows")
+    rows = saved(cells_of(rows).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "cells")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = rows.withColumn("other", other).select("heavy", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "own")
+    cells = rows.withColumn("other", other).select("heavy", "is_family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id")
     sets = saved(sets_of(docs, rows), "sets")
-    joined = cells.join(sets, cells["doc_id"] == sets["id"]).select("heavy", "i", "j", "own", "doc_id", "set")
+    joined = cells.join(sets, cells["doc_id"] == sets["id"]).select("heavy", "is_family", "i", "j", "doc_id", "set")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
         held, cell = [], None
 
         def send():
-            found = block_links(np.array([h[0] for h in held]), [np.frombuffer(h[1], U) for h in held], np.array([h[2] for h in held]), percent)
+            found = block_links(np.array([h[0] for h in held]), [np.frombuffer(h[1], U) for h in held], percent)
             return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], schema=schema)
 
         for batch in batches:
-            for t, i, j, own, d, s in zip(*(column(batch, c).to_pylist() for c in ("heavy", "i", "j", "own", "doc_id", "set"))):
-                if (t, i, j) != cell and held:
+            for *at, d, s in zip(*(column(batch, c).to_pylist() for c in ("heavy", "is_family", "i", "j", "doc_id", "set"))):
+                if at != cell and held:
                     yield send()
                     held = []
-                cell = (t, i, j)
-                held.append((d, s, own))
+                cell = at
+                held.append((d, s))
         if held:
             yield send()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return saved(joined.repartition(parts, "heavy", "i", "j").sortWithinPartitions("heavy", "i", "j").mapInArrow(run, "u long, v long"), "links")
+    return saved(joined.repartition(parts, "heavy", "is_family", "i", "j").sortWithinPartitions("heavy", "is_family", "i", "j").mapInArrow(run, "u long, v long"), "links")
 
 
 def join_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
