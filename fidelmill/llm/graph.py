@@ -1,34 +1,72 @@
-"""Connected components of an edge table by alternating star contraction."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelmill.llm.common import drop_dir, new_dir
+from fidelmill.llm.common import column, drop_dir, new_dir
 
 EDGE = "u long, v long"
+#: Edges that one task may join up (16 bytes each); more of them take the distributed way, to the same result.
+ONE_TASK_EDGES = 1_000_000
 
 
-def _write(df: DataFrame, spark) -> tuple[DataFrame, str]:
+def _write(df: DataFrame, spark: SparkSession) -> tuple[DataFrame, str]:
     path = new_dir(spark, "edges")
     df.write.parquet(path)
     return spark.read.schema(EDGE).parquet(path), path
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+def joined_up(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, component) of the nodes of an edge list: each node's least reachable node."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        np.minimum.at(new, label, new)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _one_task(edges: DataFrame) -> DataFrame:
+    def run(batches):
+        u, v = [], []
+        for batch in batches:
+            u.append(column(batch, "u").to_numpy())
+            v.append(column(batch, "v").to_numpy())
+        if u:
+            node, component = joined_up(np.concatenate(u), np.concatenate(v))
+            for at in range(0, len(node), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65_536]) for x in (node, component)], names=["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def components(edges: DataFrame, u: str = "u", v: str = "v", one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component) of every node that has an edge to another; the component is its smallest node.
 
-    Large-star joins every neighbour that is larger to the least neighbour,
-    small-star every smaller one; both keep components, and in a few rounds
-    (logarithmic in the longest path) every component is a star around its
-    least node. Minima are combined before the shuffle and joined back, so a
-    node with very many neighbours is split by the skew join, never gathered.
-    Each round is written to shared storage, which cuts lineage.
+    A table of at most ``one_task`` edges, counted first, is joined up by one
+    task. A larger one is contracted by stars: large-star joins every neighbour
+    that is larger to the least neighbour, small-star every smaller one; both
+    keep components, and in a few rounds (logarithmic in the longest path) every
+    component is a star around its least node. Minima are combined before the
+    shuffle and joined back, so a node with very many neighbours is split by the
+    skew join, never gathered. Each round is written to shared storage, which
+    cuts lineage.
     """
     spark = edges.sparkSession
-    e = edges.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).where("u > v").distinct()
+    e = edges.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).where("u > v")
     e, path = _write(e, spark)
+    if e.count() <= one_task:
+        return _one_task(e)
     state = None
     while True:
         both = e.union(e.select("v", "u"))
