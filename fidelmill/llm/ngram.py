@@ -51,6 +51,8 @@ HEAVY, MAX_HEAVY = 32, 1_000_000
 RANGE_BYTES, FLUSH = 16 << 20, 1_000_000
 #: Rows of a block of a heavy list.
 BLOCK = 512
+#: Rows of an Arrow batch here: a row may carry a long text or its whole set.
+BATCH_ROWS = 128
 #: Multipliers of the further orders.
 ORDERS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -477,7 +479,7 @@ def heavy_links(docs: DataFrame, rows: DataFrame, links: DataFrame, percent: int
 def join_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    tune(spark)
+    tune(spark, BATCH_ROWS)
     docs = docs.select("doc_id", "text")
     bits = sized(docs)
     path = new_dir(spark, "first-pass")
