@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from fidelmill.llm.common import arrow_map, column, texts, tune
 
 UNIT, BLOCKS_WIDE, BLOCKS_HIGH, RATE = 192, 16, 12, 25
-BINS, WINDOW, SIGMAS, FLOOR = 32, 12, 3, 48
+BINS, WINDOW, SIGMAS, FLOOR = 32, 12, 3, 96
 
 _DIFF = np.arange(-255, 256)
 _SIZE = np.array([abs(int(d)).bit_length() for d in _DIFF])
