@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,13 +68,23 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def trim() -> None:
+    """Give back what earlier tasks of this worker have freed: workers live on, and allocators keep memory."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with per-task state: ``make()`` runs once a task and gives what handles each batch."""
 
     def run(batches):
+        trim()
         handle = make()
         for batch in batches:
             yield from handle(batch)
+        trim()
 
     return df.mapInArrow(run, schema)
 

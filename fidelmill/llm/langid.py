@@ -14,7 +14,7 @@ of the id; prediction covers every whole text, and only text is its input.
 Defined results. Null text or no letter: ``und``, score 0, rejected. No labelled
 text at all: ``und`` for all. Null doc_id: crc32 of the empty text decides about
 held_out. Equal cosines: the language first in order. Repeated rows: each by
-itself. Empty table: no rows. Extra columns are ignored, or kept by ``keep``.
+itself. Empty table: no rows. Extra columns are ignored, or kept by ``keep_known``.
 """
 
 from __future__ import annotations
@@ -133,26 +133,32 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = TRAIN_
     return Model([r["lang"] for r in found], owner, np.concatenate(points) if points else np.zeros((0, DIMENSIONS), np.float32), idf, np.array([r["floor"] for r in found]))
 
 
-def identify(docs: DataFrame, *, modulus: int = 4, held: int = 2, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected of every row; with ``keep`` all columns of ``docs`` before the last three."""
-    spark = docs.sparkSession
-    tune(spark)
-    model = spark.sparkContext.broadcast(fit(docs, modulus, held))  # a few vectors a language
+def identify(docs: DataFrame, *, modulus: int = 4, held: int = 2) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected of every row."""
+    tune(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, modulus, held))  # a few vectors a language
 
     def make():
         def handle(batch):
             lang, score, rejected = model.value.predict(column(batch, "text").to_pylist())
-            own = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if keep or n != "text"]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in own), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*(n for n, _ in own), "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
         return handle
 
-    own = docs if keep else docs.select("doc_id", "text")
-    schema = StructType([f for f in own.schema.fields if keep or f.name != "text"]).add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType())
-    out = arrow_map(own, make, schema)
-    return out if keep else out.select("doc_id", (crc_remainder("doc_id", modulus) == held).alias("held_out"), "lang_pred", "score", "rejected")
+    schema = StructType([docs.schema["doc_id"]]).add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType())
+    out = arrow_map(docs.select("doc_id", "text"), make, schema)
+    return out.select("doc_id", (crc_remainder("doc_id", modulus) == held).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
+def keep_known(docs: DataFrame, *, modulus: int = 4, held: int = 2) -> DataFrame:
     """The rows of ``docs`` whose text is of a known language, with their columns."""
-    return identify(docs, keep=True).where(~F.col("rejected")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    tune(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, modulus, held))
+
+    def make():
+        def handle(batch):
+            yield batch.filter(pa.array(~model.value.predict(column(batch, "text").to_pylist())[2]))
+
+        return handle
+
+    return arrow_map(docs, make, docs.schema)

@@ -11,7 +11,7 @@ the capped ones are a prefix, so running sums give every target in closed form.
 Defined results. Null text: size 0. Null source: a source of its own, last in
 order. Source without words: rate 0, taken 0. Null doc_id hashes as the empty
 text; repeated rows draw alike. Empty table: no rows. Extra columns pass through
-``emit``; a column named like an internal one is untouched.
+``emit`` whatever their names.
 """
 
 from __future__ import annotations
@@ -56,20 +56,25 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+OWN = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
 def mix(docs: DataFrame, *, pattern: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, max_rate: float = 2.0, seed: int = 42) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies (how often the mix emits the row)."""
+    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies (how often the mix emits the row); columns of these names are replaced."""
+    docs = docs.drop(*OWN)
     own = docs.select(docs["*"], words(docs["text"]).alias("mix_size"))
     sizes = docs.select("source", words(docs["text"]).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
-    t = small(targets(sizes, pattern, budget, max_rate).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")))
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return own.join(t, own["source"].eqNullSafe(t["mix_source"])).drop("mix_source").withColumn("mix_copies", copies)
+    t = small(targets(sizes, pattern, budget, max_rate).select(F.col("source").alias("of_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")))
+    rate = F.when(t["mix_source_size"] > 0, t["mix_target"] / t["mix_source_size"]).otherwise(F.lit(0.0))
+    copies = F.floor(rate) + (draw(own["doc_id"], seed) < rate - F.floor(rate)).cast("long")
+    return own.join(t, own["source"].eqNullSafe(t["of_source"])).select(own["*"], t["mix_source_size"], t["mix_target"], copies.alias("mix_copies"))
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row as often as it is taken, in the columns of ``docs``."""
-    mixed = mix(docs, **options).where("mix_copies > 0")
-    return mixed.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).drop("mix_copy")
+    """The mix itself: each row as often as it is taken, in the columns of ``docs``, whatever their names."""
+    held = docs.select("doc_id", "text", "source", F.struct("*").alias("row"))
+    taken = mix(held, **options).where("mix_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    return taken.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 ORACLE = r"""

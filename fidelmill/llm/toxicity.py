@@ -14,7 +14,7 @@ The fit takes at most about ``TRAIN_PER_CLASS`` labelled texts a class, drawn by
 hash of the id; scoring covers every whole text, and only text is its input.
 
 Defined results. Null or empty text: the score of a text without known words.
-No label of one class: every score is 0. Null doc_id: crc32 of the empty text
+No label of one class: every score is 0 (or next to it). Null doc_id: crc32 of the empty text
 decides about held_out. Repeated rows: each scored by itself. Empty table: no
 rows. Rows of ``labels`` without a label or without a document are ignored;
 extra columns too.
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from fidelmill.llm.common import arrow_map, column, crc_remainder, small, texts, tune
 from fidelmill.llm.wordtable import U, plain_words, runs, span_hashes
@@ -204,30 +205,37 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def score(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, per_class: int = TRAIN_PER_CLASS, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; with ``keep`` all columns of ``docs`` and ``toxic_score``."""
-    spark = docs.sparkSession
-    tune(spark)
-    model = spark.sparkContext.broadcast(fit(training_rows(docs, labels, modulus, per_class)))  # at most MAX_FEATURES weights
+def _model(docs: DataFrame, labels: DataFrame, modulus: int, per_class: int):
+    tune(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, modulus, per_class)))  # at most MAX_FEATURES weights
+
+
+def score(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row."""
+    model = _model(docs, labels, modulus, per_class)
 
     def make():
         scorer = Scorer(model.value)
 
         def handle(batch):
-            got = pa.array(scorer.scores(texts(batch)), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(scorer.scores(texts(batch)), pa.float64())], names=["doc_id", "score"])
 
         return handle
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    if keep:
-        return arrow_map(docs, make, StructType([*docs.schema.fields]).add("toxic_score", DoubleType()))
-    own = docs.select("doc_id", "text")
-    out = arrow_map(own, make, StructType([*own.schema.fields]).add("toxic_score", DoubleType()))
-    return out.select("doc_id", (crc_remainder("doc_id", modulus) == 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+    out = arrow_map(docs.select("doc_id", "text"), make, StructType([docs.schema["doc_id"]]).add("score", DoubleType()))
+    return out.select("doc_id", (crc_remainder("doc_id", modulus) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, *, modulus: int = 5, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with their columns."""
-    return score(docs, labels, keep=True).where(F.col("toxic_score") < threshold).drop("toxic_score")
+    model = _model(docs, labels, modulus, per_class)
+
+    def make():
+        scorer = Scorer(model.value)
+
+        def handle(batch):
+            yield batch.filter(pa.array(scorer.scores(texts(batch)) < threshold))
+
+        return handle
+
+    return arrow_map(docs, make, docs.schema)
