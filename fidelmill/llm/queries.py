@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelmill.llm import bitpack, counts, html, langid, media, mixing, ngram, packing, pivots, toxicity
+from fidelmill.llm import bitpack, counts, html, langid, media, mixing, ngram, oracles, packing, pivots, toxicity
 from fidelmill.llm.common import load
 from fidelmill.llm.tokens import tokenizer_path
 
@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {"op1_mix": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_mix": mixing.ORACLE, "op6_pivots": oracles.PIVOTS, "op7_ngram_join": oracles.NGRAM}
