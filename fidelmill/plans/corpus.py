@@ -23,8 +23,11 @@ LEXICON_LEAST = 3
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; one of fewer files than cores is dealt out over them, since a file of one row group is one task."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table == "documents" and len(df.inputFiles()) < cores else df
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
