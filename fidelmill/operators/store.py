@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Callable
+from heapq import heappop, heappush
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,13 +79,64 @@ def propagate(pages: DataFrame, before: str, after: str, whole_word: bool = True
     return p.select("page_id", "n") if dry else p.select("page_id", "n", replaced(F.col("text"), before, after, whole_word).alias("text"))
 
 
-def apply_ledger(pages: DataFrame, corrections: DataFrame, most: int = 500) -> DataFrame:
-    """page_id, text after the ``most`` commonest corrections, one after the other, the commonest first."""
-    rows = corrections.orderBy(F.desc("n"), "before").limit(most).collect()
-    text = F.col("text")
-    for r in rows:
-        text = replaced(text, r["before"], r["after"])
-    return pages.select("page_id", text.alias("new")).join(pages.select("page_id", "text"), "page_id").where("new <> text").select("page_id", F.col("new").alias("text"))
+def _replaced(text: str, before: str, after: str) -> str:
+    """As ``replaced`` does whole words."""
+    out, done, i = [], 0, text.find(before)
+    while i >= 0:
+        end = i + len(before)
+        whole = not _WORD.match(text[i - 1 : i]) and not _WORD.match(text[end : end + 1])
+        if whole:
+            out += text[done:i], after
+            done = end
+        i = text.find(before, end if whole else i + 1)
+    return "".join((*out, text[done:]))
+
+
+_WORD = re.compile(r"\w+")  # letters, numbers and _
+
+
+def replay(corrections: list[tuple[str, str]]) -> Callable[[str], str]:
+    """A function of a text that applies all corrections, each to what the ones before it left.
+
+    A whole-word match has the words of ``before`` as words of the text, so only the corrections
+    whose longest word the text has, or got by a correction before, are looked for.
+    """
+    by_word = defaultdict(list)
+    for rank, (before, _) in enumerate(corrections):
+        by_word[max(_WORD.findall(before), key=len, default="")].append(rank)
+
+    def run(text: str) -> str:
+        ranks = sorted(r for w in {*_WORD.findall(text), ""} for r in by_word.get(w, ()))
+        held = set(ranks)
+        while ranks:
+            rank = heappop(ranks)
+            before, after = corrections[rank]
+            new = _replaced(text, before, after)
+            if new == text:
+                continue
+            text = new
+            # between two matches that touch words may join, but only if no word stands at the edges of ``before``
+            joins = not _WORD.match(before[0]) and not _WORD.match(before[-1])
+            for r in (r for w in set(_WORD.findall(text if joins else after)) for r in by_word.get(w, ())):
+                if r > rank and r not in held:
+                    held.add(r)
+                    heappush(ranks, r)
+        return text
+
+    return run
+
+
+def apply_ledger(pages: DataFrame, corrections: DataFrame) -> DataFrame:
+    """page_id, text after all corrections, one after the other, the commonest first; empty ``before`` is none. The whole ledger goes to every worker."""
+    rows = corrections.where("before <> ''").orderBy(F.desc("n"), "before").select("before", "after").collect()
+    corrected = replay([tuple(r) for r in rows])
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else corrected(t) for t in texts], dtype=object)
+
+    run = run.asNondeterministic()  # else the filter runs it once more
+    return pages.select("page_id", "text", run("text").alias("new")).where("new <> text").select("page_id", F.col("new").alias("text"))
 
 
 def occurrences(pages: DataFrame, needle: str, folded: bool = False, context: int = 28) -> DataFrame:

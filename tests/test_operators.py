@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +96,23 @@ def test_propagation(spark):
     assert {r.page_id: r.text for r in store.apply_ledger(p, c).collect()} == {0: "cow cats cow.", 2: "cow"}
 
 
+def test_the_whole_ledger_is_replayed(spark):
+    """700 corrections, chains, joins and marks among them, against a plain fold."""
+    r = random.Random(3)
+    rows = [(f"w{i}", f"w{i + 1}" if i % 7 == 0 else f"v{i} w{r.randrange(700)}", 900 - i) for i in range(690)]
+    rows += [("-a-", "w", 990), ("ww", "w5 b", 60), ("b.", "b", 50), ("w1 w2", "two", 2000), ("...", "…", 40), ("é_1", "w600", 1000), ("v3", "", 10), ("$", "$1", 9), ("w690", "last", 1), (" ", "  ", 3)]
+    texts = [" ".join(f"w{r.randrange(700)}" + r.choice(["", ".", "...", "x"]) for _ in range(40)) for _ in range(50)] + ["-a--a- w1 w2 é_1", "w690", "a $ b. , ", "", "none"]
+    want = {}
+    for i, text in enumerate(texts):
+        new = text
+        for before, after, _ in sorted(rows, key=lambda x: (-x[2], x[0])):
+            new = re.sub(rf"(?<!\w){re.escape(before)}(?!\w)", lambda _, a=after: a, new)
+        if new != text:
+            want[i] = new
+    c = frame(spark, rows, "before string, after string, n long")
+    assert {r.page_id: r.text for r in store.apply_ledger(pages_of(spark, *texts), c).collect()} == want and want[51] == "last"
+
+
 def test_occurrences_overlap(spark):
     got = store.occurrences(pages_of(spark, "ababab", "x", "aba"), "aba").orderBy("page_id", "offset").collect()
     assert [(r.page_id, r.offset) for r in got] == [(0, 0), (0, 2), (2, 0)]
