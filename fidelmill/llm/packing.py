@@ -16,8 +16,10 @@ run dry leaves its share to the rest.
 
 Defined results. Null text: the empty text, one piece with the end id. Null
 source: a queue of its own. Null or repeated doc_id: each row is packed by
-itself. Empty table: no rows. Extra columns are ignored. More than ``MAX_QUEUES``
-sources: sources share queues by hash.
+itself. Empty table: no rows. Extra columns are ignored. Every source has its
+own queue, however many there are: windows are laid out some ``CELLS`` counters
+at a time, so memory does not grow with the sources, but the work of a batch is
+its windows times the sources.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from fidelmill.llm.common import BROADCAST_ROWS, arrow_map, column, saved, texts, tune
 from fidelmill.llm.tokens import encoder
 
-#: Queues of one packing; a window's layout costs as many counters.
-MAX_QUEUES = 256
+#: Counters laid out at once; a window costs one for each queue.
+CELLS = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int"
 
 
@@ -50,11 +52,14 @@ def served(upto: np.ndarray, weights: np.ndarray, totals: np.ndarray) -> np.ndar
     if np.array_equal(w, n):  # then the due count is near the virtual time
         near = upto / w.sum()
         lo, hi = np.maximum(near - (len(w) + 2) / w.sum(), 0), near + (len(w) + 2) / w.sum()
+    met = np.zeros(len(upto), bool)
     for _ in range(80):
         mid = (lo + hi) / 2
-        early = due(mid).sum(1) <= upto
-        if ((mid == lo) | (mid == hi)).all():
+        n_due = due(mid).sum(1)
+        early = n_due <= upto
+        if (met | (mid == lo) | (mid == hi)).all():
             break
+        met |= n_due == upto  # from then on ``lo`` stands at that very count
         lo, hi = np.where(early, mid, lo), np.where(early, hi, mid)
     took, more = due(lo), due(hi)
     rest = upto - took.sum(1)  # due at the very same time: by queue
@@ -68,8 +73,8 @@ def pack_rows(queue: np.ndarray, start: np.ndarray, n: np.ndarray, weights: np.n
     whole = int(totals.sum())
     last = (whole + size - 1) // size
     rate = weights / weights.sum() * size
-    slack = len(weights) + 2
     if np.array_equal(weights, totals):
+        slack = (len(weights) + 2) * weights[queue] / weights.sum() + 2  # virtual time is that near the due count
         first_k = np.maximum((start - slack) / rate[queue] - 1, 0).astype(np.int64)
         last_k = np.minimum((start + n + slack) / rate[queue] + 2, last).astype(np.int64)
     else:
@@ -82,33 +87,38 @@ def pack_rows(queue: np.ndarray, start: np.ndarray, n: np.ndarray, weights: np.n
     else:
         ks = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first_k, last_k)]))
     ks = np.union1d(ks, np.minimum(ks + 1, last))
-    counts = served(np.minimum(ks * size, whole), weights, totals)
     rows, starts, lengths, windows, offsets = [], [], [], [], []
-    for q in np.unique(queue):
-        own = np.flatnonzero(queue == q)
-        cuts = counts[:, q]
-        a, b = start[own], start[own] + n[own]
-        i = np.searchsorted(cuts, a, "right") - 1  # the window that has the first token
-        j = np.searchsorted(cuts, b, "left")  # the first window boundary at or after the end
-        many = j - i
+    step = max(1, CELLS // len(weights))
+    for c in range(0, max(len(ks) - 1, 1), step):
+        part = ks[c : c + step + 1]  # with the bound where the next part begins
+        counts = served(np.minimum(part * size, whole), weights, totals)
+        ahead = np.cumsum(np.diff(counts, axis=0), 1) - np.diff(counts, axis=0)
+        a, b = np.maximum(start, counts[0, queue]), np.minimum(start + n, counts[-1, queue])
+        own = np.flatnonzero(a < b)
+        a, b = a[own], b[own]
+        used, q = np.unique(queue[own], return_inverse=True)
+        far = whole + 1  # keeps the queues' bounds apart in one sorted row
+        cuts = (counts[:, used].T + np.arange(len(used))[:, None] * far).ravel()
+        i = np.searchsorted(cuts, a + q * far, "right") - 1 - q * len(part)  # the window that has the first token
+        many = np.searchsorted(cuts, b + q * far, "left") - q * len(part) - i  # up to the first bound at or after the end
         row = np.repeat(np.arange(len(own)), many)
         k = np.repeat(i, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        begin, end = np.maximum(cuts[k], a[row]), np.minimum(cuts[k + 1], b[row])
+        of = queue[own][row]
+        begin, end = np.maximum(counts[k, of], a[row]), np.minimum(counts[k + 1, of], b[row])
         full = end > begin
-        row, k, begin, end = row[full], k[full], begin[full], end[full]
-        ahead = (counts[k + 1, :q] - counts[k, :q]).sum(1)
+        row, k, of, begin, end = row[full], k[full], of[full], begin[full], end[full]
         rows.append(own[row])
-        starts.append(begin - a[row])
+        starts.append(begin - start[own[row]])
         lengths.append(end - begin)
-        windows.append(ks[k])
-        offsets.append(ahead + begin - cuts[k])
+        windows.append(part[k])
+        offsets.append(ahead[k, of] + begin - counts[k, of])
     join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
     out = [join(x) for x in (rows, starts, lengths, windows, offsets)]
     order = np.lexsort((out[1], out[0]))
     return [x[order] for x in out]
 
 
-def tokenized(docs: DataFrame, path: str, chunks: str, end_id: int, queues: dict | None) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, chunks: str, end_id: int, queues: dict) -> DataFrame:
     """doc_id, queue, part, at (tokens of the queue before it within its part), n, ids (compressed): written to shared storage."""
 
     def make():
@@ -121,7 +131,7 @@ def tokenized(docs: DataFrame, path: str, chunks: str, end_id: int, queues: dict
         def handle(batch):
             ids = [np.append(x, np.uint32(end_id)) for x in encoder(path, chunks).encode(texts(batch))]
             sources = column(batch, "source").to_pylist()
-            queue = [queues[s] if queues is not None else zlib.crc32((s or "").encode()) % MAX_QUEUES for s in sources]
+            queue = [queues[s] for s in sources]
             at = []
             for q, x in zip(queue, ids):
                 at.append(had.get(q, 0))
@@ -155,20 +165,17 @@ def pack(docs: DataFrame, *, path: str, chunks: str = "word", end_id: int = 2, s
     """
     spark = docs.sparkSession
     tune(spark)
-    few = docs.select("source").distinct().limit(MAX_QUEUES + 1).collect()
-    queues = None
-    if len(few) <= MAX_QUEUES:
-        names = sorted((r[0] for r in few), key=lambda s: (s is None, s or ""))
-        queues = {s: i for i, s in enumerate(names)}
+    names = sorted((r[0] for r in docs.select("source").distinct().collect()), key=lambda s: (s is None, s or ""))
+    queues = {s: i for i, s in enumerate(names)}
     held = tokenized(docs, path, chunks, end_id, queues)
     parts = held.groupBy("part", "queue").agg(F.sum("n").alias("n"))
     base = parts.withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     base = base.select("part", "queue", F.coalesce("base", F.lit(0)).alias("base"))
-    totals = np.zeros(len(queues) if queues is not None else MAX_QUEUES, np.int64)
+    totals = np.zeros(len(queues), np.int64)
     for q, n in parts.groupBy("queue").agg(F.sum("n")).collect():  # one row per queue
         totals[q] = n
     share = totals.copy()
-    if weights is not None and queues is not None:
+    if weights is not None:
         share = np.asarray([weights.get(s, 0) for s in queues], float)
         share = np.where(share > 0, share, share[share > 0].min() * 1e-6 if (share > 0).any() else 1.0)
     live = np.flatnonzero(totals)

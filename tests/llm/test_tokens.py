@@ -1,5 +1,6 @@
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -151,3 +152,33 @@ def test_served_is_one_order():
     totals = np.array([1, 7, 1000, 333, 2])
     all_ = packing.served(np.arange(totals.sum() + 1), totals, totals)
     assert (all_.sum(1) == np.arange(totals.sum() + 1)).all() and (np.diff(all_, axis=0) >= 0).all() and (all_[-1] == totals).all()
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 5000])
+@pytest.mark.parametrize("own", [True, False])
+def test_many_queues_are_served_in_order_of_due_time(monkeypatch, cells, own):
+    monkeypatch.setattr(packing, "CELLS", cells)
+    g = np.random.default_rng(5)
+    totals = g.integers(1, 60, 700)
+    weights = totals if own else g.integers(1, 9, 700).astype(float)
+    order = sorted((Fraction(2 * t + 1, 2 * int(w)), q, t) for q, (n, w) in enumerate(zip(totals, weights)) for t in range(n))
+    queue, start = np.arange(700).repeat(2), np.stack([0 * totals, totals // 2], 1).ravel()
+    n = np.stack([totals // 2, totals - totals // 2], 1).ravel()
+    got = packing.pack_rows(queue, start, n, weights, totals, 128)
+    windows = {(int(queue[r]), int(start[r] + s + x)): (int(k), int(o + x)) for r, s, m, k, o in zip(*got) for x in range(m)}
+    # doubles can swap tokens that are due at the very same time
+    assert sorted((k, Fraction(2 * t + 1, 2 * int(weights[q]))) for (q, t), (k, _) in windows.items()) == [(i // 128, due) for i, (due, *_) in enumerate(order)]
+    assert sorted(windows.values()) == [(i // 128, i % 128) for i in range(len(order))]
+
+
+def test_each_of_many_sources_is_a_queue(spark):
+    rows = [(i, "one two three four " * (1 + i % 3), f"s{i % 300}") for i in range(600)] + [(600, "none at all", None), (601, "no name", "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = packing.pack(d, path=WORD, size=64).collect()
+    check_packing(got, rows, plain(WORD), 64)
+    source = {x[0]: x[2] for x in rows}
+    assert len({(r.queue, source[r.doc_id]) for r in got}) == len({r.queue for r in got}) == 302
+    got = packing.pack(d, path=WORD, size=64, weights={s: 1000.0 if s == "s7" else 1.0 for s in source.values()}).collect()
+    check_packing(got, rows, plain(WORD), 64)
+    first = [r for r in got if r.sequence_id == 0]
+    assert sum(r.length for r in first if source[r.doc_id] == "s7") == sum(r.doc_tokens for r in {r.doc_id: r for r in got if source[r.doc_id] == "s7"}.values())
