@@ -265,7 +265,7 @@ def recognized_with_affixes(spark, sf):
 @query("edit_distance")
 def edit_distance(spark, sf):
     """Distance and similarity of each word and the lexicon words of its skeleton."""
-    l = lexicon(spark, sf, 20)
+    l = lexicon(spark, sf)
     a = l.select("skeleton", F.col("surface").alias("a"))
     b = l.select("skeleton", F.col("surface").alias("b"))
     p = a.join(b, "skeleton").where("a < b")
@@ -279,7 +279,7 @@ def confusion_counts(spark, sf):
 
 @query("stems_of_words")
 def stems_of_words(spark, sf):
-    w = lexicon(spark, sf, 20).select(F.col("surface").alias("word"))
+    w = lexicon(spark, sf).select(F.col("surface").alias("word"))
     return w.select("word", F.size(morph.stems(F.col("word"))).alias("n_readings"))
 
 

@@ -29,6 +29,16 @@ def test_query(spark, duck, name):
     assert len(a) == len(b) and (a == b).all().all()
 
 
+def test_distances_and_readings_cover_the_lexicon(spark):
+    words = {r.surface: r.skeleton for r in QUERIES["lexicon_build"](spark, SF).collect()}
+    assert {r.word for r in QUERIES["stems_of_words"](spark, SF).collect()} == set(words)
+    alike = {}
+    for w, s in words.items():
+        alike.setdefault(s, []).append(w)
+    want = {(a, b) for ws in alike.values() for a in ws for b in ws if a < b}
+    assert {(r.a, r.b) for r in QUERIES["edit_distance"](spark, SF).collect()} == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
