@@ -1,4 +1,7 @@
-"""Issue detectors: each a DataFrame of (page_id, start, end, kind, severity, word, suggestion, score, verified)."""
+"""Issue detectors: each a DataFrame of (page_id, start, end, kind, severity, word, suggestion, score, verified, gap, observed_known).
+
+``gap`` is how far the second suggestion's score lies behind the first's, null without a second.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +10,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fidelmill.functions import normalize, script
+from fidelmill.functions import distance, normalize, script
 from fidelmill.operators import lexicon as lex
 from fidelmill.operators.tokens import word_table
 
-COLUMNS = ("page_id", "start", "end", "kind", "severity", "word", "suggestion", "score", "verified")
+COLUMNS = ("page_id", "start", "end", "kind", "severity", "word", "suggestion", "score", "verified", "gap", "observed_known")
 SEVERITIES = ("high", "medium", "low")
 
 
-def _issue(df: DataFrame, kind: str, severity: Column | str, word: Column, suggestion: Column | None = None, score: float | Column | None = None, verified: bool = False) -> DataFrame:
+def _issue(df: DataFrame, kind: str, severity: Column | str, word: Column, suggestion: Column | None = None, score: float | Column | None = None, verified: bool | Column = False, gap: Column | None = None, observed_known: Column | None = None) -> DataFrame:
     s = severity if isinstance(severity, Column) else F.lit(severity)
     none = F.lit(None)
     return df.select(
         "page_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit(kind).alias("kind"), s.alias("severity"), word.alias("word"),
-        (suggestion if suggestion is not None else none).cast("string").alias("suggestion"), (F.lit(score) if score is not None and not isinstance(score, Column) else score if score is not None else none).cast("double").alias("score"), F.lit(verified).alias("verified"),
+        (suggestion if suggestion is not None else none).cast("string").alias("suggestion"), (F.lit(score) if score is not None and not isinstance(score, Column) else score if score is not None else none).cast("double").alias("score"), (verified if isinstance(verified, Column) else F.lit(verified)).alias("verified"),
+        (gap if gap is not None else none).cast("double").alias("gap"), (observed_known if observed_known is not None else F.lit(False)).alias("observed_known"),
     )
 
 
@@ -73,36 +77,39 @@ def repeated_words(words: DataFrame) -> DataFrame:
 
 
 def unknown_words(words: DataFrame, recognized: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
-    """Words of the script that are not recognised; with ranked candidates the best of them."""
+    """Words of the script that are not recognised; with ranked candidates (of each place) the best of them."""
     u = words.where((F.length("word") >= 2) & F.col("word").rlike(f"[{script.classes()['ethiopic']}]")).join(recognized.where("not known").select("word"), "word")
     if ranked is None:
         return _issue(u, "unknown_word", "medium", F.col("word"))
-    best = ranked.where("rank = 1").select("word", "surface", F.col("score").alias("best"))
-    u = u.join(best, "word", "left")
+    place = ["page_id", "word_no", "word"]
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.struct("surface", "score")))
+    best = ranked.where("rank <= 2").groupBy(*place).agg(at(1).alias("first"), at(2).alias("second"))
+    u = u.join(best.select(*place, "first.surface", F.col("first.score").alias("best"), (F.col("second.score") - F.col("first.score")).alias("gap")), place, "left")
     severity = F.when(F.col("best") < 0.4, "high").otherwise("medium")
-    out = _issue(u, "unknown_word", severity, F.col("word"), F.col("surface"), F.col("best"))
+    out = _issue(u, "unknown_word", severity, F.col("word"), F.col("surface"), F.col("best"), gap=F.col("gap"))
     return out.withColumn("verified", F.col("suggestion").isNotNull())
 
 
-def split_words(words: DataFrame, known: DataFrame, lexicon: DataFrame) -> DataFrame:
+def split_words(words: DataFrame, known: DataFrame, lexicon: DataFrame, affixes: bool = False) -> DataFrame:
     """Neighbours that are one known word together, and not both known apart. ``known`` covers the single words."""
     k = known.select(F.col("word").alias("k"), "known")
     p = _next(words).where("next is not null")
     p = p.join(k.withColumnsRenamed({"k": "word", "known": "known1"}), "word").join(k.withColumnsRenamed({"k": "next", "known": "known2"}), "next").where("not (known1 and known2)")
-    p = p.withColumn("joined", F.concat("word", "next")).where(F.length("joined") >= 3).withColumn("folded", script.fold(F.col("joined")))
-    p = p.join(lexicon.select("folded").distinct(), "folded", "left_semi").withColumn("end", F.col("next_end"))
+    p = p.withColumn("joined", F.concat("word", "next")).where(F.length("joined") >= 3).withColumn("end", F.col("next_end"))
+    whole = lex.recognized(p.select(F.col("joined").alias("word")), lexicon, affixes).where("known").select(F.col("word").alias("joined"))
+    p = p.join(whole, "joined", "left_semi")
     return _issue(p, "split_word", "medium", F.concat_ws(" ", "word", "next"), F.col("joined"), 0.2, True)
 
 
-def run_together(words: DataFrame, known: DataFrame, lexicon: DataFrame) -> DataFrame:
+def run_together(words: DataFrame, known: DataFrame, lexicon: DataFrame, affixes: bool = False) -> DataFrame:
     """Unknown words that some cut leaves as two known ones; the first such cut."""
     u = known.where("not known").select("word").where(F.length("word") >= 4)
     word = F.col("word")
     cuts = u.select("word", F.explode(F.sequence(F.lit(2), F.length("word") - 2)).alias("cut"))
     cuts = cuts.select("word", "cut", word.substr(F.lit(1), F.col("cut")).alias("left"), word.substr(F.col("cut") + 1, F.length("word")).alias("right"))
-    forms = lexicon.select("folded").distinct()
-    cuts = cuts.withColumn("fl", script.fold(F.col("left"))).withColumn("fr", script.fold(F.col("right")))
-    cuts = cuts.join(forms.withColumnRenamed("folded", "fl"), "fl", "left_semi").join(forms.withColumnRenamed("folded", "fr"), "fr", "left_semi")
+    parts = cuts.select(F.col("left").alias("word")).union(cuts.select("right"))
+    real = lex.recognized(parts, lexicon, affixes).where("known").select("word")
+    cuts = cuts.join(real.withColumnRenamed("word", "left"), "left", "left_semi").join(real.withColumnRenamed("word", "right"), "right", "left_semi")
     first = cuts.groupBy("word").agg(F.min_by(F.concat_ws(" ", "left", "right"), "cut").alias("apart"))
     return _issue(words.join(first, "word"), "run_together", "medium", F.col("word"), F.col("apart"), 0.25, True)
 
@@ -113,6 +120,22 @@ def low_confidence(readings: DataFrame, known: DataFrame, threshold: float = 0.7
     return _issue(r, "low_confidence", F.when(~F.col("known") & (F.col("conf") < 0.5), "medium").otherwise("low"), F.col("word"))
 
 
+def disagreements(readings: DataFrame, lexicon: DataFrame, affixes: bool = True) -> DataFrame:
+    """Words that another reader read otherwise: (page_id, start, end, word, reading), a row for each of the other readings.
+
+    A reading that is no word is no rival of one that is. Best is the cheapest, a known one 0.5 cheaper.
+    """
+    r = readings.where("reading <> '' and reading <> word").select("page_id", "start", "end", "word", "reading").distinct()
+    every = lex.recognized(r.select("word").union(r.select("reading")), lexicon, affixes)
+    r = r.join(every.select("word", F.col("known").alias("k")), "word").join(every.select(F.col("word").alias("reading"), "known"), "reading").where("known or not k")
+    costs = r.select("word", "reading").distinct().withColumn("d", distance.distance(F.col("word"), F.col("reading")))
+    r = r.join(costs, ["word", "reading"]).withColumn("s", F.struct((F.col("d") - F.when(F.col("known"), 0.5).otherwise(0.0)).alias("score"), "reading", "known"))
+    s = F.sort_array(F.collect_list("s"))
+    g = r.groupBy("page_id", "start", "end", "word", "k").agg(s.alias("s"))
+    g = g.select("*", F.col("s")[0].alias("best"), (F.try_element_at("s", F.lit(2))["score"] - F.col("s")[0]["score"]).alias("gap"))
+    return _issue(g, "engine_disagreement", F.when(F.col("k"), "medium").otherwise("high"), F.col("word"), F.col("best.reading"), F.col("best.score"), gap=F.col("gap"), observed_known=F.col("k"), verified=F.col("best.known"))
+
+
 def deduplicated(*issues: DataFrame) -> DataFrame:
     """One issue a span: by severity, then a verified suggestion, any suggestion, the score; the kind breaks ties."""
     every = reduce(DataFrame.unionByName, issues)
@@ -122,9 +145,9 @@ def deduplicated(*issues: DataFrame) -> DataFrame:
     return every.withColumn("n", n).where("n = 1").drop("n")
 
 
-def auto_applied(pages: DataFrame, issues: DataFrame, most: float = 0.35) -> DataFrame:
-    """page_id, text, applied: sure suggestions spliced in from the right; of overlapping spans the first stays."""
-    sure = issues.where(F.col("verified") & (F.col("score") <= most))
+def auto_applied(pages: DataFrame, issues: DataFrame, most: float = 0.35, least_gap: float = 0.25) -> DataFrame:
+    """page_id, text, applied: sure suggestions (cheap, well ahead of the second, for no known word) spliced in from the right; of overlapping spans the first stays."""
+    sure = issues.where(F.col("verified") & (F.col("score") <= most) & (F.col("gap").isNull() | (F.col("gap") >= least_gap)) & ~F.col("observed_known"))
     w = Window.partitionBy("page_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     sure = sure.withColumn("reach", F.coalesce(F.max("end").over(w), F.lit(0))).where("start >= reach")
     spans = sure.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "suggestion")), asc=False).alias("spans"))
@@ -152,10 +175,14 @@ def next_issue(cursors: DataFrame, issues: DataFrame) -> DataFrame:
     return cursors.join(firsts, "page_id").join(later, ["page_id", "at"], "left").select("page_id", "at", F.coalesce("later", "first").alias("start"))
 
 
-def detected(pages: DataFrame, lexicon: DataFrame, affixes: bool = False) -> DataFrame:
-    """All detectors that need no candidates, one issue a span."""
+def detected(pages: DataFrame, lexicon: DataFrame, affixes: bool = False, suggest: bool = False, readings: DataFrame | None = None) -> DataFrame:
+    """All detectors, one issue a span; with ``suggest`` unknown words get candidates in their context, with ``readings`` those of other readers are compared."""
     words = word_table(pages)
     known = lex.recognized(words, lexicon, affixes)
-    return deduplicated(
-        suspect_characters(pages), mixed_script(words), punctuation(pages), repeated_words(words), unknown_words(words, known), split_words(words, known, lexicon), run_together(words, known, lexicon)
-    )
+    ranked = None
+    if suggest:
+        ranked = reranked(words, lex.candidates(known.where("not known"), lexicon, most=12, cutoff=1.3), lex.bigrams(pages))
+    found = [
+        suspect_characters(pages), mixed_script(words), punctuation(pages), repeated_words(words), unknown_words(words, known, ranked), split_words(words, known, lexicon, affixes), run_together(words, known, lexicon, affixes)
+    ]
+    return deduplicated(*found, *([disagreements(readings, lexicon, affixes)] if readings is not None else []))

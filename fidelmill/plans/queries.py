@@ -329,15 +329,25 @@ def low_confidence(spark, sf):
     return issues.low_confidence(b, lex.known(b, lexicon_)).select(*_SPAN, "severity")
 
 
+def _second_reader(text, word_no):
+    """A second reader drops the last character of every eleventh word."""
+    return F.when((word_no % 11 == 5) & (F.length(text) > 2), text.substr(F.lit(1), F.length(text) - 1)).otherwise(text)
+
+
+def _all_issues(p: DataFrame, lexicon_: DataFrame) -> DataFrame:
+    readings = word_table(p).withColumn("reading", _second_reader(F.col("word"), F.col("word_no")))
+    return issues.detected(p, lexicon_, affixes=True, suggest=True, readings=readings)
+
+
 @query("issues_dedup")
 def issues_dedup(spark, sf):
-    return issues.detected(pages(spark, sf), lexicon(spark, sf)).select("page_id", "start", "end", "kind", "severity", "word", "suggestion")
+    return _all_issues(pages(spark, sf), lexicon(spark, sf)).select("page_id", "start", "end", "kind", "severity", "word", "suggestion")
 
 
 @query("auto_apply")
 def auto_apply(spark, sf):
     p = pages(spark, sf)
-    return issues.auto_applied(p, issues.detected(p, lexicon(spark, sf)))
+    return issues.auto_applied(p, _all_issues(p, lexicon(spark, sf)))
 
 
 @query("next_issue", with_pages("SELECT page_id, a AS at, coalesce(min(start) FILTER (start > a), min(start)) AS start FROM found, (VALUES (0), (100), (1000)) t(a) GROUP BY page_id, a", tokens_cte(), "found AS (SELECT a.page_id, a.start FROM placed_words a JOIN placed_words b ON a.page_id = b.page_id AND b.word_no = a.word_no + 1 AND a.word = b.word WHERE length(a.word) >= 2)"))
@@ -484,9 +494,8 @@ def issue_box_overlap(spark, sf):
 
 @query("vote_words")
 def vote_words(spark, sf):
-    """A second reader drops the last character of every eleventh word."""
     w = word_table(pages(spark, sf)).select("page_id", F.col("word_no").cast("int").alias("word_idx"), F.col("word").alias("text"), F.lit(0.8).alias("conf"))
-    second = w.withColumn("text", F.when((F.col("word_idx") % 11 == 5) & (F.length("text") > 2), F.col("text").substr(F.lit(1), F.length("text") - 1)).otherwise(F.col("text")))
+    second = w.withColumn("text", _second_reader(F.col("text"), F.col("word_idx")))
     both = w.withColumn("engine_rank", F.lit(0)).unionByName(second.withColumn("engine_rank", F.lit(1)))
     return geometry.voted(both, lexicon(spark, sf))
 

@@ -72,6 +72,22 @@ def test_auto_apply_splices_sure_suggestions(spark, lex):
     assert got == {0: ("ሰላም ለሁሉም መጽሐፍ።", 3)}
 
 
+def test_affixes_candidates_and_other_readings(spark, lex):
+    p = pages_of(spark, "የሰላም ነው", "ጣይቃው", "መጽሐ", "ሰላም")
+    rows = [(2, 0, 3, "መጽሐ", "መጽሐፍ"), (3, 0, 3, "ሰላም", "ሰላ"), (3, 0, 3, "ሰላም", "ቅዱስ"), (0, 5, 7, "ነው", "ነው")]
+    readings = frame(spark, rows, "page_id long, start int, end int, word string, reading string")
+    found = {(r.page_id, r.start, r.kind): r for r in issues.detected(p, lex, affixes=True, suggest=True, readings=readings).collect()}
+    assert set(found) == {(1, 0, "unknown_word"), (2, 0, "engine_disagreement"), (3, 0, "engine_disagreement")}  # an inflected word is none
+    assert found[1, 0, "unknown_word"].suggestion == "ጠይቀው" and found[2, 0, "engine_disagreement"].suggestion == "መጽሐፍ" and found[2, 0, "engine_disagreement"].severity == "high"
+    known = found[3, 0, "engine_disagreement"]
+    assert (known.suggestion, known.severity, known.observed_known, known.gap) == ("ቅዱስ", "medium", True, None)  # ሰላ is no word
+    near = issues.detected(p, lex, True, True, readings).withColumn("score", F.lit(0.1))
+    assert {r.page_id: r.text for r in issues.auto_applied(p, near).collect()} == {1: "ጠይቀው", 2: "መጽሐፍ"}
+    assert issues.auto_applied(p, near.withColumn("gap", F.lit(0.2))).count() == 0
+    second = issues.detected(pages_of(spark, "በሰላም ቤት", "ቤትየሰላም"), lex, True).where("kind = 'run_together'").collect()
+    assert [(r.page_id, r.suggestion) for r in second] == [(1, "ቤት የሰላም")]
+
+
 def test_quality_orders_pages(spark, lex):
     p = pages_of(spark, "ሰላም ለሁሉም ነው።", "ቅቅቅቅ ዠዠዠዠ ጨጨጨ ኰኰኰ", "ሰላም ⶀⶀⶀ ነው", "ሰላም hello world foo bar", "").withColumn("status", F.lit("recognized")).withColumn("mean_conf", F.element_at(F.array(*map(F.lit, (0.9, 0.3, 0.9, 0.9, 0.0))), F.col("page_id").cast("int") + 1))
     q = {r.page_id: r for r in quality.page_quality(p, lex, issues.detected(p, lex)).collect()}
