@@ -11,12 +11,15 @@ A shard file holds the ids of a run of documents in ascending doc_id order:
 - a footer: bits, ids a block, documents, ids, blocks, index offset, magic.
 
 Any id range is read by seeking to its blocks. Unpacking is one numpy call a
-block. Shards are cut at quantiles of doc_id, so no task holds more than a
-shard's rows; the ids before a shard come from the manifest, one row a shard.
+block. Texts are dealt to shards by range of (doc_id, hash of the text), so rows
+of one id are split too and no task holds more than a shard's rows; each task
+encodes and writes its shard as it reads it. The ids before a shard come from the
+manifest, one row a shard.
 
 Defined results. Null text: the empty text, the end id alone. Null doc_id: first
-in order. Repeated doc_id: each row stays, in any order among themselves. Empty
-table: no files, no rows. Extra columns are ignored.
+in order. Repeated doc_id: each row stays, in order of the texts' hashes (equal
+texts have equal ids, so their order does not show). An id beyond the vocabulary
+is an error, never cut. Empty table: no files, no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +29,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelmill.llm.common import arrow_map, column, new_dir, texts, tune
-from fidelmill.llm.packing import narrow, widen
-from fidelmill.llm.tokens import encoder
+from fidelmill.llm.common import arrow_map, column, new_dir, texts, trim, tune
+from fidelmill.llm.tokens import encoder, vocabulary_size
 
 MAGIC = b"FMBITS01"
 BLOCK_IDS = 65_536
@@ -45,6 +46,8 @@ def width(vocabulary: int) -> int:
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit in {bits} bits")
     planes = (ids.astype("<u4")[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
     return np.packbits(planes.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
@@ -149,60 +152,51 @@ def opened(folder: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), folder) if folder.startswith("/") else fs.FileSystem.from_uri(folder)
 
 
-def write_ids(docs: DataFrame, *, path: str, vocabulary: int, end_id: int, chunks: str = "byte", shard_docs: int = 16_384, folder: str | None = None) -> tuple[str, list[tuple[int, int, int]]]:
+#: Bytes of text of a shard, about, and the fewest rows for which a shard is cut smaller.
+SHARD_BYTES, SHARD_ROWS = 256 << 20, 1024
+
+
+def write_ids(docs: DataFrame, *, path: str, end_id: int, vocabulary: int | None = None, chunks: str = "byte", shard_bytes: int = SHARD_BYTES, folder: str | None = None) -> tuple[str, list[tuple[int, int, int]]]:
     """Encodes every text and writes the shard files. Returns the folder and the manifest (shard, documents, ids).
 
-    A shard is written under an own name and then renamed, so a task that is
-    lost and runs again leaves one whole file.
+    ``vocabulary`` defaults to the tokenizer's. A shard is written under an own
+    name and then renamed, so a task that is lost and runs again leaves one whole
+    file.
     """
     spark = docs.sparkSession
     tune(spark)
-    rows = docs.count()
-    shards = max(1, -(-rows // shard_docs))
-    cuts = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / shards for i in range(1, shards)], 0.2 / shards) if shards > 1 else []
-    cuts = np.asarray(cuts, float)
+    vocabulary = vocabulary or vocabulary_size(path)
+    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, size // shard_bytes, min(parts, rows // SHARD_ROWS))
     folder = folder or new_dir(spark, "token-ids")
 
-    def encode():
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-
-        def handle(batch):
-            ids = encoder(path, chunks).encode(texts(batch))
-            doc = column(batch, "doc_id").cast(pa.int64())
-            at = np.asarray([-np.inf if x is None else x for x in doc.to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, at, "right"), pa.int32()), doc, pa.array([squeeze(narrow(np.append(x, np.uint32(end_id)))) for x in ids], pa.binary())], names=["shard", "doc_id", "ids"])
-
-        return handle
-
     def write(batches):
-        where, top = opened(folder)
-        where.create_dir(top, recursive=True)
-        grow = zstandard.ZstdDecompressor().decompress
-        shard, writer, name = None, None, ""
-
-        def finish():
-            writer.close()
-            writer.out.close()
-            where.move(name, f"{top}/shard-{shard:08d}.fmb")
-            return pa.RecordBatch.from_pydict({"shard": [shard], "docs": [len(writer.docs)], "ids": [writer.ids]}, pa.schema([("shard", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())]))
-
         from pyspark import TaskContext
 
-        attempt = TaskContext.get().taskAttemptId()
+        context = TaskContext.get()
+        shard, attempt = context.partitionId(), context.taskAttemptId()
+        where, top = opened(folder)
+        name, writer = f"{top}/.writing-{shard:08d}-{attempt}", None
         for batch in batches:
-            for s, d, raw in zip(*(column(batch, c).to_pylist() for c in ("shard", "doc_id", "ids"))):
-                if s != shard:
-                    if writer:
-                        yield finish()
-                    shard, name = s, f"{top}/.writing-{s:08d}-{attempt}"
-                    writer = Writer(where.open_output_stream(name), vocabulary)
-                writer.add(d, widen(grow(raw)))
+            if not batch.num_rows:
+                continue
+            if writer is None:
+                where.create_dir(top, recursive=True)
+                writer = Writer(where.open_output_stream(name), vocabulary)
+            for d, x in zip(column(batch, "doc_id").cast(pa.int64()).to_pylist(), encoder(path, chunks).encode(texts(batch))):
+                writer.add(d, np.append(x, np.uint32(end_id)))
         if writer:
-            yield finish()
+            writer.close()
+            writer.out.close()
+            where.move(name, f"{top}/shard-{shard:08d}.fmb")
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [len(writer.docs)], "ids": [writer.ids]}, pa.schema([("shard", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())]))
+        trim()
 
-    ids = arrow_map(docs.select("doc_id", "text"), encode, "shard int, doc_id long, ids binary")
-    done = ids.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id").mapInArrow(write, "shard int, docs long, ids long")
-    return folder, sorted(tuple(r) for r in done.collect())  # one row a shard
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row")]
+    dealt = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    return folder, sorted(tuple(r) for r in dealt.mapInArrow(write, "shard int, docs long, ids long").collect())  # one row a shard
 
 
 def read_ids(spark: SparkSession, folder: str, manifest: list[tuple[int, int, int]]) -> DataFrame:

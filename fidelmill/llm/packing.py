@@ -19,7 +19,8 @@ source: a queue of its own. Null or repeated doc_id: each row is packed by
 itself. Empty table: no rows. Extra columns are ignored. Every source has its
 own queue, however many there are: windows are laid out some ``CELLS`` counters
 at a time, so memory does not grow with the sources, but the work of a batch is
-its windows times the sources.
+its windows times the sources. A batch lays out only the windows its documents
+reach, with any weights.
 """
 
 from __future__ import annotations
@@ -78,7 +79,16 @@ def pack_rows(queue: np.ndarray, start: np.ndarray, n: np.ndarray, weights: np.n
         first_k = np.maximum((start - slack) / rate[queue] - 1, 0).astype(np.int64)
         last_k = np.minimum((start + n + slack) / rate[queue] + 2, last).astype(np.int64)
     else:
-        first_k, last_k = np.zeros(len(n), np.int64), np.full(len(n), last)
+        w, some = weights.astype(np.float64), max(1, CELLS // len(weights))
+
+        def place(token: np.ndarray) -> np.ndarray:
+            """Tokens due when this one is: its place in the one order, but for those due at the same time."""
+            at = (token + 0.5) / w[queue]
+            return np.concatenate([np.clip(np.ceil(at[i : i + some, None] * w - 0.5), 0, totals).sum(1) for i in range(0, len(at), some)] or [np.zeros(0)])
+
+        slack = len(w) + 2
+        first_k = np.clip((place(start) - slack) // size - 1, 0, last).astype(np.int64)
+        last_k = np.clip((place(start + n) + slack) // size + 2, 0, last).astype(np.int64)
     spans = np.zeros(last + 2, np.int32) if last < 1 << 22 else None
     if spans is not None:
         np.add.at(spans, first_k, 1)

@@ -8,13 +8,14 @@ A table is emptied when it is full, so its memory is bounded.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
 U = np.uint64
 BASE, INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Bytes of text that are handled at once; a longer text is one run.
+#: Bytes of text that are handled at once; a longer text is handled in pieces, cut at white space.
 RUN_BYTES = 1 << 20
 _powers = [np.ones(1, U), np.ones(1, U)]
 
@@ -60,6 +61,21 @@ def runs(parts: list[bytes]) -> Iterator[tuple[int, int]]:
         at = end
 
 
+_CUT = re.compile(rb"[\x20\t-\r]")
+
+
+def pieces(raw: bytes) -> list[bytes]:
+    """A long text cut before white space, so that every word is in one piece; one word longer than a piece is whole."""
+    out, at = [], 0
+    while len(raw) - at > RUN_BYTES:
+        found = _CUT.search(raw, at + RUN_BYTES)
+        if not found:
+            break
+        out.append(raw[at : found.start()])
+        at = found.start()
+    return [*out, raw[at:]] if at else [raw]
+
+
 def plain_words(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans of the words between ASCII spaces; ``bounds`` are where texts begin, and the end."""
     white = _WHITE[buf]

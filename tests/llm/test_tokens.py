@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 from tokenizers.models import Unigram
 
-from fidelmill.llm import bitpack, counts, packing
+from fidelmill.llm import bitpack, counts, packing, tokens
 from fidelmill.llm.tokens import Encoder, tokenizer_path
 from fidelmill.llm.wordtable import Table
 
@@ -16,7 +16,6 @@ BYTE, WORD, PIECES = (tokenizer_path(n) for n in ("byte_bpe_50k.json", "word_bpe
 
 def plain(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
@@ -28,11 +27,26 @@ def crc(ids):
 def test_cached_encoding_is_the_tokenizers(path, chunks):
     r, want, e = random.Random(1), plain(path), Encoder(path, chunks)
     texts = ["", " ", "\n", " \n", "a \nb", "don't  I'll", "İ Σ ΣΑΣ é", "x\r\ny", "<|endoftext|>a", "a\x00b", "q\xa0w", "a\x1cb"]
+    texts += ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "x<|ENDOFTEXT|>y", "<|endoftext", "a <|start oftext|> b"]
     texts += ["".join(r.choice("ab é.,\n \t '1Z　\U0001f600") for _ in range(r.randint(0, 40))) for _ in range(500)]
     for _ in range(2):  # unseen, then seen
         assert [x.tolist() for x in e.encode(texts)] == [want(t) for t in texts]
 
 
+@pytest.mark.parametrize("path, chunks", [(BYTE, "byte"), (WORD, "word")])
+def test_long_texts_are_encoded_in_slices(path, chunks, monkeypatch):
+    r, want, e = random.Random(4), plain(path), Encoder(path, chunks)
+    monkeypatch.setattr(tokens, "SLICE", 50)
+    texts = ["".join(r.choice(["ab", " ", "  ", "é", "\n", "9", " a", ".", "\xa0", "<|endoftext|>", "'s"]) for _ in range(900)) for _ in range(30)] + ["x" * 500, " " * 300]
+    assert max(len(tokens.slices(t)) for t in texts) > 5
+    assert [x.tolist() for x in e.encode(texts)] == [want(t) for t in texts]
+
+
+def test_an_id_that_does_not_fit_is_an_error():
+    with pytest.raises(ValueError):
+        bitpack.pack_bits(np.array([1, 8], np.uint32), 3)
+
+
 def test_table_finds_what_was_added():
     r = np.random.default_rng(0)
     h = np.unique(r.integers(1, 1 << 63, 3000).astype(np.uint64) | np.uint64(1))
@@ -52,7 +66,7 @@ def test_bits_round_trip(bits):
 
 def test_files_round_trip(spark, docs, rows):
     want, end = plain(BYTE), 0
-    folder, manifest = bitpack.write_ids(docs, path=BYTE, vocabulary=50_257, end_id=end, shard_docs=20)
+    folder, manifest = bitpack.write_ids(docs, path=BYTE, end_id=end, shard_bytes=1 << 13)
     assert len(manifest) > 3 and sum(m[1] for m in manifest) == len(rows)
     got = bitpack.read_ids(spark, folder, manifest).orderBy("start").collect()
     at = 0
@@ -66,8 +80,20 @@ def test_files_round_trip(spark, docs, rows):
     assert (reader.read(3, 50) == whole[3:53]).all()
 
 
+def test_rows_of_one_id_are_split_over_shards(spark):
+    want = plain(BYTE)
+    rows = [(7, f"text number {i}") for i in range(50)] + [(None, f"none {i}") for i in range(20)] + [(9, "same")] * 10
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder, manifest = bitpack.write_ids(d, path=BYTE, end_id=0, shard_bytes=200)
+    got = bitpack.read_ids(spark, folder, manifest).orderBy("start").collect()
+    assert len(manifest) > 4 and [r.doc_id for r in got] == [None] * 20 + [7] * 50 + [9] * 10
+    assert sorted((r.doc_id or 0, r.ids_crc32) for r in got) == sorted((i or 0, crc(want(t) + [0])) for i, t in rows)
+    again = bitpack.read_ids(spark, *bitpack.write_ids(d.repartition(2), path=BYTE, end_id=0, shard_bytes=200)).orderBy("start").collect()
+    assert again == got
+
+
 def test_no_documents_no_files(spark, empty):
-    folder, manifest = bitpack.write_ids(empty, path=BYTE, vocabulary=50_257, end_id=0)
+    folder, manifest = bitpack.write_ids(empty, path=BYTE, end_id=0)
     assert manifest == [] and bitpack.read_ids(spark, folder, manifest).count() == 0
 
 
