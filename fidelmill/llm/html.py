@@ -13,7 +13,9 @@ article parts are known, so nothing is learned from the pages to be extracted.
 
 Defined results. Null or empty html: the empty text. Text outside any element:
 a block of the body. Unclosed, stray and misnested tags: closed by the nearest
-enclosing block. White space inside a block, line breaks too: one space. Repeated
+enclosing block; an unclosed drawing, player or choice is skipped as a tag alone,
+and of an unclosed script, style, title or field only what stands before the next
+(block's) tag, so that nothing after it is lost. White space inside a block, line breaks too: one space. Repeated
 rows: each by itself. Empty table: no rows. Extra columns are ignored. The whole
 html is read, whatever its length.
 """
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -46,7 +49,9 @@ KINDS = {
 }
 BLOCK_TAGS = {t: i for i, ts in enumerate(KINDS.values()) for t in ts}
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = set("script style noscript template title textarea iframe svg math object canvas audio video head select".split())
+RAW_TAGS = set("script style noscript template title textarea iframe svg canvas audio video head select".split())
+#: Of these, what stands in an unclosed one up to the next tag is no text of the page either.
+PLAIN_TAGS = set("script style title textarea iframe".split())
 BAD_TOKENS = set(
     "nav navbar navigation menu menubar topbar toolbar header masthead banner footer foot copyright legal sidebar side aside rail widget related recommended more ad ads advert adverts advertisement"
     " sponsor sponsored promo promotion cookie cookies consent notice alert popup modal overlay comment comments reply replies disqus respond discussion share sharing social breadcrumb breadcrumbs"
@@ -57,6 +62,7 @@ BAD_ROLES = set("navigation banner contentinfo complementary search form dialog
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*>""", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+OPENING = re.compile(rf"<(?:/head|{'|'.join(sorted(BLOCK_TAGS))})\b[^>]*>", re.I)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SENTENCE = re.compile(r"[.!?。،;:,](?=\s|$)")
@@ -152,8 +158,9 @@ def parse(html: str) -> Node:
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
                 if close:
                     at = close.end()
-                elif tag != "head":
-                    break
+                elif tag in PLAIN_TAGS:
+                    close = (OPENING if tag in ("script", "style") else LOOSE).search(html, at)
+                    at = close.start() if close else end
             held.append(" ")
         elif tag == "a":
             links = 1  # a link inside a link closes the first
@@ -222,6 +229,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     total = max(1, nodes[0].n_text)
     last = max(1, nodes[0].longest)
     above: dict[int, tuple] = {}
+    alike: dict[int, int] = {}
     rows = []
     for n in nodes:
         p = n.parent
@@ -231,7 +239,10 @@ def features(nodes: list[Node]) -> np.ndarray:
         is_nav, is_form, is_article = kind == 0, kind == 1, kind == 2
         above[id(n)] = (up[0] + bad, up[1] + good, up[2] + is_nav, up[3] + is_form, up[4] + is_article)
         siblings = p.children if p else [n]
-        same = sum(s.tag == n.tag for s in siblings) if len(siblings) < 200 else len(siblings)
+        if id(n) not in alike:  # the first child counts for all
+            tags = Counter(s.tag for s in siblings)
+            alike.update((id(s), tags[s.tag]) for s in siblings)
+        same = alike[id(n)]
         parent_kind = BLOCK_TAGS.get(p.tag, N_KINDS) if p else N_KINDS + 1
         size = n.n_text
         rows.append(
