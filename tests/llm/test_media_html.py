@@ -141,3 +141,80 @@ def test_blocks_of_misnested_markup():
     assert text("<p>a<p>b</p>c</div>d") == ["a", "b", "cd"]
     assert text("x<!-- <p>no</p> -->y<style>p{}</style>z") == ["xy z"]
     assert text("<td>a<td>b") == ["a", "b"]
+
+
+@pytest.mark.parametrize("tag", "select svg object iframe textarea video audio canvas math title script style noscript template".split())
+def test_an_unclosed_element_ends_no_page(model, tag):
+    r = random.Random(11)
+    body = "".join(f"<p>{html._sentence(r)} {html._sentence(r)} {html._sentence(r)}</p>" for _ in range(6))
+    want = html.extract_many([f"<html><body><article><h1>A heading of the page</h1>{body}</article></body></html>"], model)[0]
+    got = html.extract_many([f"<html><body><article><h1>A heading of the page</h1><{tag}>{body}</article></body></html>"], model)[0]
+    assert want.count("\n") == 6 and len(got) >= 0.8 * len(want)
+
+
+def test_siblings_are_counted_at_any_number():
+    def same(n):
+        nodes = html.ordered(html.parse("<div>" + "<p>a b</p>" * n + "<ul>x</ul></div>"))
+        html.summed(nodes)
+        rows = html.features(nodes)
+        return {int(row[19]) for row, node in zip(rows, nodes) if node.tag == "p"}, {int(row[19]) for row, node in zip(rows, nodes) if node.tag == "ul"}
+
+    assert [same(n) for n in (3, 199, 200, 450)] == [({n}, {1}) for n in (3, 199, 200, 450)]
+
+
+def test_decoding_is_the_likeliest_labelling():
+    """Against all labellings of small trees in which no node is kept below a dropped one."""
+    g = np.random.default_rng(2)
+    for _ in range(60):
+        nodes = [html.Node("div", None)]
+        for _ in range(int(g.integers(0, 8))):
+            nodes.append(html.Node("p", nodes[int(g.integers(0, len(nodes)))]))
+        nodes = html.ordered(nodes[0])
+        odds = g.normal(size=len(nodes)) * 3
+        place = {id(n): i for i, n in enumerate(nodes)}
+        keep, drop = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
+        best = max(
+            (sum(keep[i] if m >> i & 1 else drop[i] for i in range(len(nodes))), m)
+            for m in range(1 << len(nodes))
+            if all(not m >> i & 1 or n.parent is None or m >> place[id(n.parent)] & 1 for i, n in enumerate(nodes))
+        )
+        got = html.decoded(nodes, odds.copy())
+        assert abs(sum(np.where(got, keep, drop)) - best[0]) < 1e-9
+
+
+def test_clashing_names_and_repeated_pages(spark, model):
+    d = spark.createDataFrame([(1, "u", "<article><p>One sentence of the page. Another one.</p></article>", "x", 3)] * 2, "page_id long, url string, html string, text string, n_chars int")
+    got = html.extract(d, model).collect()
+    assert len(got) == 2 and got[0] == got[1]
+
+
+def test_files_are_built_and_read_in_groups(monkeypatch):
+    g = np.random.default_rng(3)
+    payloads = [bytes(g.integers(0, 256, 192 * n).astype(np.uint8)) for n in (1, 7, 3, 1, 20)]
+    whole = [media.encode_avi(p) for p in payloads]
+    monkeypatch.setattr(media, "FRAMES", 4)
+    assert [media.encode_avi(p) for p in payloads] == whole
+    assert [f.tobytes() for f, _ in media.read_many(whole)] == payloads
+    assert media.read_many([]) == []
+
+
+def test_restart_intervals_and_damaged_frames():
+    """The same blocks cut by restart markers give the same plane; a frame that ends early is an error."""
+    payload = bytes(range(192))
+    file = media.encode_avi(payload)
+    (at, size), *_ = media.parse_avi(file)[0]
+    frame = file[at : at + size]
+    v = np.frombuffer(payload, np.uint8).astype(int) - 128
+    scan = b""
+    for k in range(0, 192, 48):
+        bits = "".join(format(int(c), "010b") for c in media._CODE[np.diff(v[k : k + 48], prepend=0) + 255])
+        bits += "1" * (-len(bits) % 8)
+        scan += int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0") + (b"\xff" + bytes([0xD0 + k // 48]) if k < 144 else b"")
+    head = media.HEADER.tobytes()
+    cut = head.index(b"\xff\xda")
+    restarted = head[:cut] + media._segment(0xDD, struct.pack(">H", 48)) + head[cut:] + scan + b"\xff\xd9"
+    assert (media.decode_frame(restarted) == media.decode_frame(frame)).all()
+    with pytest.raises(ValueError):
+        media.decode_frame(head[:cut] + media._segment(0xDD, struct.pack(">H", 48)) + head[cut:] + scan[:60] + b"\xff\xd9")
+    with pytest.raises(ValueError):
+        media.dc_images([b"\xff\xd8\xff\xd9"])
