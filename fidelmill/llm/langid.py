@@ -4,9 +4,9 @@ A text is the counts of its hashed byte trigrams (letters in lower case, all
 else as single spaces), damped by a logarithm, weighted by inverse document
 frequency and scaled to length 1. Each language is ``CLUSTERS`` centroids from
 spherical k-means; a text goes to the language of its nearest centroid by
-cosine. A text that is further from every centroid than ``SLACK`` of the
-furthest training text of that language is rejected: it is no text of a known
-language, or hardly any text.
+cosine. A text whose cosine is less than ``SLACK`` of that of nearly all training
+texts of that language (all but ``STRAYS`` of them) is rejected: it is no text of
+a known language, or hardly any text.
 
 The fit draws about ``TRAIN_PER_LANG`` labelled texts of each language by hash
 of the id; prediction covers every whole text, and only text is its input.
@@ -33,11 +33,15 @@ from fidelmill.llm.common import arrow_map, column, crc_remainder, saved, small,
 #: Labelled texts of each language that the fit draws, about.
 TRAIN_PER_LANG = 400
 CLUSTERS, ROUNDS = 4, 10
+#: Share of a language's texts that a cluster has at least.
+LEAST_SHARE = 0.02
 #: Hash buckets of the trigrams.
 DIMENSIONS = 1 << 13
-#: Share of the least training cosine of a language below which a text is rejected.
-SLACK = 0.25
+#: Share of a language's training texts that may lie anywhere, and share of the least cosine of the others below which a text is rejected.
+STRAYS, SLACK = 0.01, 0.25
 UNKNOWN = "und"
+#: Bytes of a text that are counted at once.
+SLICE = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 
@@ -45,9 +49,15 @@ _SPACED = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 def trigrams(text: str) -> np.ndarray:
     """Counts of the hashed trigrams of one text."""
     raw = b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_SPACED).split()) + b" "
-    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    if len(b) < 3:
+    if len(raw) < 3:
         return np.zeros(DIMENSIONS, np.int64)
+    if len(raw) > SLICE:  # slices overlap by two bytes: each trigram begins in one
+        return sum(_counted(raw[at : at + SLICE + 2]) for at in range(0, len(raw) - 2, SLICE))
+    return _counted(raw)
+
+
+def _counted(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
     h = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
@@ -65,16 +75,21 @@ def vectors(parts: list[str], idf: np.ndarray) -> np.ndarray:
 
 
 def centroids(x: np.ndarray, k: int) -> np.ndarray:
-    """Spherical k-means; the first centre is the mean's nearest, the next ones the furthest from those before."""
-    at = [int((x @ x.mean(0)).argmax())]
-    while len(at) < min(k, len(x)):
-        at.append(int((x @ x[at].T).max(1).argmin()))
-    c = x[at]
+    """Spherical k-means of rows in a fixed order.
+
+    The rows are first put in order of their cosine with the mean, and the first
+    centres are the means of ``k`` equal runs of that order, so that no single odd
+    text seeds one. Clusters of less than ``LEAST_SHARE`` of the rows are left out.
+    """
+    x = x.astype(np.float64)
+    runs = np.array_split(np.argsort(-(x @ x.mean(0)), kind="stable"), min(k, len(x)))
+    scaled = lambda c: c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    c = scaled(np.array([x[r].mean(0) for r in runs]))
     for _ in range(ROUNDS):
         own = (x @ c.T).argmax(1)
-        c = np.array([x[own == i].mean(0) if (own == i).any() else c[i] for i in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+        c = scaled(np.array([x[own == i].mean(0) if (own == i).any() else c[i] for i in range(len(c))]))
+    size = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+    return c[size >= max(1, LEAST_SHARE * len(x))]
 
 
 class Model:
@@ -120,12 +135,12 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, per_lang: int = TRAIN_
     idf = np.log((1 + total) / (1 + df)).astype(np.float32) + np.float32(0.1)
 
     def of_language(part: pd.DataFrame) -> pd.DataFrame:
-        own = [t for t in part["text"] if LETTER.search(t)]
+        own = sorted(t for t in part["text"] if LETTER.search(t))  # rows arrive in any order
         if not own:
             return pd.DataFrame({"lang": [], "points": [], "floor": []})
         x = vectors(own, idf)
         c = centroids(x, CLUSTERS)
-        return pd.DataFrame({"lang": [part["lang"].iloc[0]], "points": [c.astype(np.float32).tobytes()], "floor": [float((x @ c.T).max(1).min()) * SLACK]})
+        return pd.DataFrame({"lang": [part["lang"].iloc[0]], "points": [c.astype(np.float32).tobytes()], "floor": [float(np.quantile((x @ c.T).max(1), STRAYS)) * SLACK]})
 
     found = sorted(drawn.groupBy("lang").applyInPandas(of_language, "lang string, points binary, floor double").collect())  # one row a language
     points = [np.frombuffer(r["points"], np.float32).reshape(-1, DIMENSIONS) for r in found]

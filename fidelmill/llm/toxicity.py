@@ -14,7 +14,8 @@ The fit takes at most about ``TRAIN_PER_CLASS`` labelled texts a class, drawn by
 hash of the id; scoring covers every whole text, and only text is its input.
 
 Defined results. Null or empty text: the score of a text without known words.
-No label of one class: every score is 0 (or next to it). Null doc_id: crc32 of the empty text
+Labels of one class only: every text scores that class's share, (toxic + 1) / (all + 2). No
+labels at all: every score is 0. Contradicting labels of one doc_id: toxic. Null doc_id: crc32 of the empty text
 decides about held_out. Repeated rows: each scored by itself. Empty table: no
 rows. Rows of ``labels`` without a label or without a document are ignored;
 extra columns too.
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from fidelmill.llm.common import arrow_map, column, crc_remainder, small, texts, tune
-from fidelmill.llm.wordtable import U, plain_words, runs, span_hashes
+from fidelmill.llm.common import arrow_map, column, crc_remainder, saved, small, texts, tune
+from fidelmill.llm.wordtable import U, pieces, plain_words, runs, span_hashes
 
 #: Labelled texts of each class that the fit draws, about.
 TRAIN_PER_CLASS = 3_000
@@ -103,8 +104,9 @@ def swapped(raw: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
 def fit(rows: list[tuple[list[int], float, list]]) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature hashes, their weights, and the intercept, from (distinct features, label, swaps)."""
     y = np.array([r[1] for r in rows], float)
-    if not len(y) or y.min() == y.max():
-        return np.zeros(0, U), np.zeros(0), -np.inf
+    if not len(y) or y.min() == y.max():  # no evidence but the share of the one class, with one text of each added
+        ones = float(y.sum())
+        return np.zeros(0, U), np.zeros(0), float(np.log((ones + 1) / (len(y) - ones + 1))) if len(y) else -np.inf
     size = np.array([len(r[0]) for r in rows])
     value = np.concatenate([np.asarray(r[0], np.int64).view(U) for r in rows]) if size.sum() else np.zeros(0, U)
     row = np.repeat(np.arange(len(rows)), size)
@@ -153,10 +155,14 @@ def fit(rows: list[tuple[list[int], float, list]]) -> tuple[np.ndarray, np.ndarr
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, modulus: int, per_class: int) -> list:
-    """(distinct features, label, swaps) of the drawn labelled texts."""
+    """(distinct features, label, swaps) of the drawn labelled texts, in a fixed order.
+
+    Which features enter the fit is counted over the cluster, so a text brings the
+    driver at most MAX_FEATURES and the names' numbers, however long it is.
+    """
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(crc_remainder("doc_id", modulus) != 0)
     sizes = dict(known.groupBy("toxic").count().collect())
-    if len(sizes) < 2:
+    if not sizes:
         return []
     rate = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_class / n) * (1 << 30)))))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < rate[F.col("toxic")])
@@ -166,11 +172,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, modulus: int, per_class: i
         def handle(batch):
             raw = [_raw(t) for t in texts(batch)]
             got: list[np.ndarray] = []
-            for a, b in runs(raw):
-                text, h = features(raw[a:b])
-                order = np.argsort(text, kind="stable")
-                cuts = np.searchsorted(text[order], np.arange(1, b - a))
-                got += [np.unique(x).view(np.int64) for x in np.split(h[order], cuts)]
+            for r in raw:
+                some = [features([p])[1] for p in pieces(r)]
+                got.append(np.unique(np.concatenate([np.unique(x) for x in some])).view(np.int64))
             swaps = [[[x.view(np.int64).tolist() for x in pair] for pair in swapped(r)] for r in raw]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(got, pa.list_(pa.int64())), column(batch, "toxic").cast(pa.float64()), pa.array(swaps, pa.list_(pa.list_(pa.list_(pa.int64()))))], names=["features", "label", "swaps"]
@@ -178,11 +182,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, modulus: int, per_class: i
 
         return handle
 
-    table = arrow_map(texts_of.select("text", "toxic"), make, "features array<long>, label double, swaps array<array<array<long>>>").toArrow()
-    return [
+    sample = saved(arrow_map(texts_of.select("text", "toxic"), make, "features array<long>, label double, swaps array<array<array<long>>>"), "toxic-sample")
+    share = {k: 0.5 / max(1, n) for k, n in sample.groupBy("label").count().collect()}
+    lift = F.abs(F.sum(F.when(F.col("label") == 1, F.lit(share.get(1.0, 0.0))).otherwise(-F.lit(share.get(0.0, 0.0)))))
+    counted = sample.select(F.explode("features").alias("f"), "label").groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.round(lift, 9).alias("lift"))
+    best = [r[0] for r in counted.where("n > 1").orderBy(F.desc("lift"), "f").limit(MAX_FEATURES).select("f").collect()]
+    names = np.concatenate([word_features(t) for r in IDENTITY_TERMS for t in r]).view(np.int64)
+    chosen = np.unique(np.concatenate([np.asarray(best, np.int64), names]))
+
+    def cut():
+        def handle(batch):
+            kept = [x.values.to_numpy()[np.isin(x.values.to_numpy(), chosen, assume_unique=True)] for x in column(batch, "features")]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.int64())), column(batch, "label"), column(batch, "swaps")], names=["features", "label", "swaps"])
+
+        return handle
+
+    table = arrow_map(sample, cut, "features array<long>, label double, swaps array<array<array<long>>>").toArrow()
+    rows = [
         (f.values.to_numpy(), label, [[np.asarray(x, np.int64).view(U) for x in p] for p in swaps])
         for f, label, swaps in zip(table["features"], table["label"].to_pylist(), table["swaps"].to_pylist())
     ]
+    return sorted(rows, key=lambda r: (r[1], r[0].tobytes()))  # rows arrive in any order
 
 
 class Scorer:
@@ -194,14 +214,20 @@ class Scorer:
     def scores(self, parts: list[str]) -> np.ndarray:
         raw = [_raw(t) for t in parts]
         z = np.full(len(raw), self.intercept)
-        for a, b in runs(raw) if len(self.keys) else ():
-            text, h = features(raw[a:b])
-            near = self.maybe[(h >> U(48)).astype(np.int64)]
-            text, h = text[near], h[near]
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[at] == h
-            both = np.unique(text[hit] * len(self.keys) + at[hit])  # a feature counts once a text
-            z[a:b] += np.bincount(both // len(self.keys), weights=self.weights[both % len(self.keys)], minlength=b - a)
+        if len(self.keys):
+            cut = [pieces(r) for r in raw]
+            owner = np.repeat(np.arange(len(raw)), [len(c) for c in cut])
+            every = [p for c in cut for p in c]
+            found = [np.zeros(0, np.int64)]
+            for a, b in runs(every):
+                text, h = features(every[a:b])
+                near = self.maybe[(h >> U(48)).astype(np.int64)]
+                text, h = text[near], h[near]
+                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                hit = self.keys[at] == h
+                found.append(np.unique(owner[a:b][text[hit]] * len(self.keys) + at[hit]))
+            both = np.unique(np.concatenate(found))  # a feature counts once a text
+            z += np.bincount(both // len(self.keys), weights=self.weights[both % len(self.keys)], minlength=len(raw))
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 

@@ -75,7 +75,9 @@ def test_swapping_names_lowers_false_positives():
 
 def test_one_class_and_nothing(labelled, spark):
     docs, labels = labelled
-    assert toxicity.score(docs, labels.where("toxic = 0")).agg(F.max("score")).first()[0] < 1e-12
+    low, high = (toxicity.score(docs, labels.where(f"toxic = {k}")).agg(F.min("score"), F.max("score")).first() for k in (0, 1))
+    assert low[0] == low[1] < 0.1 and high[0] == high[1] > 0.9
+    assert toxicity.score(docs, labels.where("false")).agg(F.max("score")).first()[0] < 1e-12
     assert toxicity.score(docs.where("false"), labels).count() == 0
     assert toxicity.score(docs, labels.where("false")).count() == docs.count()
 
@@ -99,3 +101,59 @@ def test_language_without_labels(labelled):
     docs, _ = labelled
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.identify(docs.where("false")).count() == 0
+
+
+def test_scores_by_plain_words(labelled):
+    """Against the sum of weights over a text's distinct words and word beginnings, looked up one by one."""
+    docs, labels = labelled
+    keys, weights, intercept = toxicity.fit(toxicity.training_rows(docs, labels, 5, 3000))
+    held = dict(zip(keys.tolist(), weights.tolist()))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    for d, text in [(r.doc_id, r.text or "") for r in docs.collect()]:
+        words = {w for w in "".join(c if c.isalpha() or not c.isascii() else " " for c in text.lower()).split()}
+        found = {int(h) for w in words for h in toxicity.word_features(w)}
+        z = intercept + sum(held.get(h, 0.0) for h in found)
+        assert abs(got[d] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_long_texts_are_scored_in_pieces(labelled, monkeypatch):
+    docs, labels = labelled
+    model = toxicity.fit(toxicity.training_rows(docs, labels, 5, 3000))
+    parts = [r.text or "" for r in docs.collect()]
+    whole = toxicity.Scorer(model).scores(parts)
+    monkeypatch.setattr("fidelmill.llm.wordtable.RUN_BYTES", 100)
+    assert np.allclose(toxicity.Scorer(model).scores(parts), whole, atol=1e-12)
+
+
+def test_languages_by_plain_cosines(labelled):
+    """Against vectors as dictionaries and every cosine by its definition."""
+    docs, _ = labelled
+    model = langid.fit(docs)
+    rows = docs.where("doc_id < 60").collect()
+    lang, score, rejected = model.predict([r.text for r in rows])
+    for r, got, value, no in zip(rows, lang, score, rejected):
+        counts = langid.trigrams(r.text)
+        x = {int(i): np.log1p(counts[i]) * model.idf[i] for i in np.flatnonzero(counts)}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        cosine = [sum(v * p[i] for i, v in x.items()) / norm for p in model.points]
+        best = int(np.argmax(cosine))
+        assert got == model.langs[model.owner[best]] and abs(value - cosine[best]) < 1e-4 and no == (cosine[best] < model.floor[model.owner[best]])
+
+
+def test_language_fit_is_the_same_in_any_order(labelled):
+    docs, _ = labelled
+    a, b = langid.fit(docs), langid.fit(docs.repartition(7, "text"))
+    assert a.langs == b.langs and (a.points == b.points).all() and (a.floor == b.floor).all()
+    odd = np.zeros((400, langid.DIMENSIONS), np.float32)
+    odd[:, :50] = np.random.default_rng(0).random((400, 50))
+    odd[7] = 0
+    odd[7, 5000] = 1  # one stray text is no centroid
+    odd /= np.linalg.norm(odd, axis=1, keepdims=True)
+    assert (langid.centroids(odd, 4) @ odd[7] < 0.5).all()
+
+
+def test_trigrams_of_long_texts(monkeypatch):
+    text = "abc déf ghi " * 500
+    whole = langid.trigrams(text)
+    monkeypatch.setattr(langid, "SLICE", 97)
+    assert (langid.trigrams(text) == whole).all()
