@@ -21,23 +21,30 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def tune(spark: SparkSession, rows: int = 1024) -> None:
-    """Keep an Arrow batch small (some texts are very long), and let workers find the package."""
+#: Rows and bytes of an Arrow batch: some texts are very long.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+
+
+def tune(spark: SparkSession) -> None:
+    """Keep Arrow batches small, and let workers find the package. The settings are the same for all operators, so lazy plans do not disturb each other."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; an own one only where that is unset."""
+    """The folder that all executors share, from ``spark.checkpoint.dir`` or the context's checkpoint folder.
+
+    Without either a local session gets a temporary folder; a cluster gets an
+    error, since its executors would each write to a disk of their own.
+    """
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if where is None:
-        if held.isDefined():
-            where = held.get()
-        else:
-            where = "file://" + tempfile.mkdtemp(prefix="fidelmill-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="fidelmill-")
     if not held.isDefined():
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -68,6 +75,20 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def shuffled_apart(rows: DataFrame, per_key: DataFrame, key: str, size: str, total: int | None = None, most: int = 100_000) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key`` (one row a key, with the key's number of rows in ``size``), no key in one task.
+
+    Keys that hold more than a ``most``-th of all rows are fewer than ``most``, so
+    they are broadcast, and their rows stay where they are; the rest is shuffled.
+    """
+    if total is None:
+        total = int(per_key.agg(F.sum(size)).first()[0] or 0)
+    large = F.col(size) > max(256, total // most)
+    few = F.broadcast(per_key.where(large))
+    rest = rows.join(F.broadcast(per_key.where(large).select(key)), key, "left_anti").join(per_key.where(~large), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def trim() -> None:
     """Give back what earlier tasks of this worker have freed: workers live on, and allocators keep memory."""
     pa.default_memory_pool().release_unused()

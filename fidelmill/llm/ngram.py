@@ -7,22 +7,27 @@ side they share ``k + 1``. The plan:
 
 1. *Frequencies.* Every task sends its shingles as sorted, delta-coded 40-bit
    ranges (about 2.5 bytes each) to the owner of the range, which counts them
-   over all documents. Tokens of ``HEAVY`` documents or more are the heavy ones;
-   they come last in every order. Their table has at most ``MAX_HEAVY`` entries:
-   the limit of what counts as heavy doubles until they fit.
-2. *Index.* Light prefix tokens go, packed, to posting lists (shorter than the
-   heavy limit by definition) which give pairs with shared counts; pairs whose
-   counts cannot reach the threshold end there.
-3. *Heavy lists.* Pairs that share heavy tokens alone: every document of a list
-   is paired with the list's least document first; lists that are one component
-   after that are done, the others are compared in blocks, matrix by matrix,
-   giving a spanning forest and not their pairs.
-4. *Verification.* A pair must share prefix tokens under ``ORDERS`` further
-   orders, and then its whole sets are intersected.
-5. *Components* of verified links and of equal texts.
+   over all documents. Beyond 2^``COARSE`` ranges a token is dealt twice, by its
+   leading bits and then by the rest, so that a parcel keeps some hundred tokens
+   at any size. Tokens of ``HEAVY`` documents or more are heavy and come last in
+   the first order; at most ``MAX_HEAVY`` of them, the commonest, are known to
+   every task.
+2. *First order.* Light prefix tokens go, packed, to posting lists, which give
+   pairs with shared counts; pairs whose counts cannot reach the threshold end
+   there. A list of more than ``HEAVY`` texts gives no pairs: it is a heavy list.
+3. *Further orders.* Of every pair only the prefixes under ``ORDERS`` are brought
+   together; a pair that shares no token under one of them ends there, before any
+   whole set is moved.
+4. *Verification.* The whole sets of the remaining pairs are intersected.
+5. *Heavy lists.* Every document of a list is paired with the list's least
+   document first; lists that are one component after that are done, the others
+   are compared in blocks: the prefixes under the further orders first, whole sets
+   of the pairs that are left. A block gives a spanning forest and not its pairs.
+6. *Components* of verified links and of equal texts.
 
 Exact copies count as one set throughout: a task drops those it sees twice, a
-list keeps one of each text. No pair or list of all documents reaches the driver.
+list keeps one of each text. No pair or list of all documents reaches the driver,
+and no token, text, list or family of copies is one task's.
 
 Defined results. Null or empty text, or only spaces: no shingles, linked with
 nothing. Fewer than five words: the whole sequence is the one shingle. Null
@@ -33,6 +38,7 @@ Empty table: no rows. Extra columns are ignored. Long texts are taken whole.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -40,24 +46,26 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelmill.llm.common import arrow_map, column, drop_dir, new_dir, saved, small, texts, tune
+from fidelmill.llm.common import arrow_map, column, drop_dir, new_dir, saved, shuffled_apart, small, texts, tune
 from fidelmill.llm.graph import components
-from fidelmill.llm.wordtable import BASE, INVERSE, U, mixed, powers
+from fidelmill.llm.wordtable import BASE, INVERSE, RUN_BYTES, U, mixed, powers
 
 WORDS = 5
-#: Documents from which a token is heavy, and the most tokens that may be.
+#: Documents from which a token is heavy, and the most heavy tokens that every task knows.
 HEAVY, MAX_HEAVY = 32, 1_000_000
-#: Bytes of text a range of the frequency count holds, and tokens a task gathers before it sends.
-RANGE_BYTES, FLUSH = 16 << 20, 1_000_000
+#: Bytes of text a range of the frequency count holds, tokens a task gathers before it sends, and bits of a range that are dealt at once.
+RANGE_BYTES, FLUSH, COARSE = 16 << 20, 1_000_000, 11
 #: Rows of a block of a heavy list.
 BLOCK = 512
-#: Rows of an Arrow batch here: a row may carry a long text or its whole set.
-BATCH_ROWS = 128
 #: Multipliers of the further orders.
 ORDERS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
+_SPACES = re.compile(rb"[\x20\t-\r]+")
+
+
 def normalized(text: str) -> bytes:
-    return b" ".join(text.encode("utf-8", "replace").lower().split())
+    raw = text.encode("utf-8", "replace").lower()
+    return _SPACES.sub(b" ", raw).strip(b" ") if len(raw) > RUN_BYTES else b" ".join(raw.split())
 
 
 def shingle_sets(norms: list[bytes]) -> list[np.ndarray]:
@@ -74,15 +82,27 @@ def shingle_sets(norms: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _sets(norms: list[bytes]) -> list[np.ndarray]:
-    buf = np.frombuffer(b"\n".join(norms) + b"\n", np.uint8)
+def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of a buffer whose words each end in a space or line end, and whether it ends a text."""
     up, down = powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, U)
     np.cumsum((buf.astype(U) + U(1)) * up[: len(buf)], out=total[1:])
     ends = np.flatnonzero((buf == 32) | (buf == 10))
     starts = np.concatenate([[0], ends[:-1] + 1])
-    word = mixed((total[ends] - total[starts]) * down[starts])
-    last = np.flatnonzero(buf[ends] == 10)  # each document's last word
+    return mixed((total[ends] - total[starts]) * down[starts]), buf[ends] == 10
+
+
+def _sets(norms: list[bytes]) -> list[np.ndarray]:
+    whole = b"\n".join(norms) + b"\n"
+    got, at = [], 0
+    while at < len(whole):  # a long text piece by piece, each ending with a word
+        end = len(whole)
+        if end - at > 2 * RUN_BYTES:
+            end = 1 + min(x for x in (whole.find(b" ", at + RUN_BYTES), whole.find(b"\n", at + RUN_BYTES)) if x >= 0)
+        got.append(word_hashes(np.frombuffer(whole, np.uint8, end - at, at)))
+        at = end
+    word, final = (np.concatenate(x) for x in zip(*got))
+    last = np.flatnonzero(final)  # each document's last word
     first = np.concatenate([[0], last[:-1] + 1])
     h = np.zeros(max(0, len(word) - WORDS + 1), U)
     for j in range(WORDS):
@@ -187,8 +207,71 @@ def first_pass(docs: DataFrame, bits: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, n long, r int, blob binary")
 
 
-def heavy_tokens(blobs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The heavy tokens' leading 40 bits in order, their frequency classes, and the limit that holds."""
+def _cuts(x: np.ndarray, low: int, high: int, bits: int, width: int):
+    """(range, from, to) of the ranges ``low`` to ``high`` of ``bits`` bits that sorted tokens of ``width`` bits fall in."""
+    cuts = np.searchsorted(x, np.arange(low, high).astype(U) << U(width - bits))
+    return [(r, a, b) for r, a, b in zip(range(low, high), cuts.tolist(), [*cuts[1:].tolist(), len(x)]) if b > a]
+
+
+def dealt_again(packed: DataFrame, bits: int, merge, cut, schema: str) -> DataFrame:
+    """Parcels of coarse ranges, merged by task and cut into their fine ranges; as they are where there are no finer ones.
+
+    ``merge(rows)`` gives the sorted tokens of some parcels with what belongs to
+    them, ``cut(r, merged, a, b)`` a parcel of a part of them. A coarse range is
+    dealt to as many tasks as it has fine ones.
+    """
+    fine = bits - COARSE
+    if fine <= 0:
+        return packed
+    names = [c for c in packed.columns if c != "salt"]
+
+    def run(batches):
+        held, r, n = [], None, 0
+
+        def send():
+            merged = merge(held)
+            for k, a, b in _cuts(merged[0], r << fine, (r + 1) << fine, bits, merged[-1]):
+                yield cut(k, merged, a, b)
+
+        for batch in batches:
+            for row in zip(*(column(batch, c).to_pylist() for c in names)):
+                if held and (row[0] != r or n >= FLUSH * 32):
+                    yield from send()
+                    held, n = [], 0
+                r = row[0]
+                held.append(row[1:])
+                n += sum(len(x) for x in row[1:])
+        if held:
+            yield from send()
+
+    salted = packed.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << fine)))
+    parts = max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << min(bits, 17))
+    return salted.repartition(parts, "r", "salt").sortWithinPartitions("r").select(*names).mapInArrow(run, schema)
+
+
+def merged_tokens(rows: list[tuple]) -> tuple[np.ndarray, int]:
+    return np.sort(np.concatenate([unpack_sorted(raw) for (raw,) in rows])), 40
+
+
+def merged_postings(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, int]:
+    tok = np.concatenate([unpack_sorted(t) for t, _, _ in rows])
+    doc = np.concatenate([unpack_any(d, DOC)[unpack_any(x, "<u4")] for _, x, d in rows])
+    order = np.argsort(tok, kind="stable")
+    return tok[order], doc[order], 48
+
+
+def cut_tokens(r: int, merged: tuple, a: int, b: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([pack_sorted(merged[0][a:b])], pa.binary())], names=["r", "blob"])
+
+
+def cut_postings(r: int, merged: tuple, a: int, b: int) -> pa.RecordBatch:
+    own, at = np.unique(merged[1][a:b], return_inverse=True)
+    cells = (pack_sorted(merged[0][a:b]), pack_any(at.astype("<u4")), pack_any(own))
+    return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([x], pa.binary()) for x in cells)], names=["r", "tok", "at", "docs"])
+
+
+def heavy_tokens(blobs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading 40 bits of the known heavy tokens in order, and their frequency classes."""
 
     def count(batches):
         held, r = [], None
@@ -209,13 +292,14 @@ def heavy_tokens(blobs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, i
         if held:
             yield send()
 
+    blobs = dealt_again(blobs, bits, merged_tokens, cut_tokens, "r int, blob binary")
     found = saved(blobs.repartition(1 << bits, "r").sortWithinPartitions("r").mapInArrow(count, "tok long, df long"), "heavy")
     classes = dict(found.groupBy(F.floor(F.log2("df")).cast("int").alias("c")).count().collect())
     least = HEAVY.bit_length() - 1
     while sum(n for c, n in classes.items() if c >= least) > MAX_HEAVY:
         least += 1
     top = found.where(F.col("df") >= 1 << least).toPandas().sort_values("tok")  # at most MAX_HEAVY rows
-    return top["tok"].to_numpy().astype(U), np.log2(top["df"].to_numpy(float)).astype(np.int8), 1 << least
+    return top["tok"].to_numpy().astype(U), np.log2(top["df"].to_numpy(float)).astype(np.int8)
 
 
 def second_pass(docs: DataFrame, bits: int, heavy, percent: int) -> DataFrame:
@@ -283,8 +367,8 @@ def second_pass(docs: DataFrame, bits: int, heavy, percent: int) -> DataFrame:
 
 
 def light_pairs(packed: DataFrame, bits: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents whose shared prefix tokens can reach the threshold."""
-    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "least", "shared")])
+    """Pairs (a, b) with counts (least, shared) of posting lists; lists of more than HEAVY texts as rows (heavy, doc_id, h, n) instead."""
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "least", "shared", "heavy", "doc_id", "h", "n")])
 
     def run(batches):
         held, r = [], None
@@ -299,8 +383,12 @@ def light_pairs(packed: DataFrame, bits: int, percent: int) -> DataFrame:
             tok, doc = tok[new], doc[new]
             change = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
             length = np.diff(np.append(change, len(tok)))
-            keep = np.repeat(length > 1, length)
-            doc, length = doc[keep], length[length > 1]
+            long = np.flatnonzero(np.repeat(length > HEAVY, length))
+            for i in range(0, len(long), 65_536):
+                part = long[i : i + 65_536]
+                yield batch_of(schema, heavy=tok[part].astype(np.int64), doc_id=doc["id"][part], h=doc["h"][part], n=doc["n"][part].astype(np.int64))
+            keep = np.repeat((length > 1) & (length <= HEAVY), length)
+            doc, length = doc[keep], length[(length > 1) & (length <= HEAVY)]
             end = np.repeat(np.cumsum(length), length)
             pos = np.arange(len(doc))
             a_all, b_all, c_all, d_all = [], [], [], []
@@ -324,7 +412,7 @@ def light_pairs(packed: DataFrame, bits: int, percent: int) -> DataFrame:
             n = np.diff(np.append(at, len(a)))
             for i in range(0, len(at), 65_536):
                 s = at[i : i + 65_536]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a[s], b[s], c[s], n[i : i + 65_536])], schema=schema)
+                yield batch_of(schema, **{name: x.astype(np.int64) for name, x in zip(("a", "b", "least", "shared"), (a[s], b[s], c[s], n[i : i + 65_536]))})
 
         for batch in batches:
             for k, t, x, d in zip(column(batch, "r").to_pylist(), column(batch, "tok"), column(batch, "at"), column(batch, "docs")):
@@ -336,55 +424,77 @@ def light_pairs(packed: DataFrame, bits: int, percent: int) -> DataFrame:
         if held:
             yield from pairs()
 
-    found = packed.repartition(1 << bits, "r").sortWithinPartitions("r").mapInArrow(run, "a long, b long, least long, shared long")
-    return found.groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("shared").alias("shared")).where("shared >= least").select("a", "b")
+    packed = dealt_again(packed, bits, merged_postings, cut_postings, "r int, tok binary, at binary, docs binary")
+    return packed.repartition(1 << bits, "r").sortWithinPartitions("r").mapInArrow(run, "a long, b long, least long, shared long, heavy long, doc_id long, h long, n long")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set) of the documents named: their texts are read again, never shuffled if the names are few."""
+def enough_shared(found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents whose shared prefix tokens can reach the threshold."""
+    return found.where("a is not null").groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("shared").alias("shared")).where("shared >= least").select("a", "b")
+
+
+def prefix_under(s: np.ndarray, multiplier: int, percent: int) -> np.ndarray:
+    """The prefix of a set under another order of all tokens."""
+    key = mixed(s * U(multiplier))
+    p = int(prefix_length(len(s), percent))
+    return s if p >= len(s) else s[np.argpartition(key, p - 1)[:p]]
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """id, set, and the leading 32 bits of its prefix under each further order, of the documents named: their texts are read again, never shuffled if the names are few."""
     own = docs.select("doc_id", "text").join(small(ids.select(F.col("doc_id")).distinct(), 2_000_000), "doc_id", "left_semi")
+    names = [f"p{i}" for i in range(len(ORDERS))]
 
     def make():
         def handle(batch):
-            got = [s.tobytes() for s in shingle_sets([normalized(t) for t in texts(batch)])]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array(got, pa.binary())], names=["id", "set"])
+            sets = shingle_sets([normalized(t) for t in texts(batch)])
+            prefixes = [pa.array([np.unique((prefix_under(s, m, percent) >> U(32)).astype("<u4")).tobytes() for s in sets], pa.binary()) for m in ORDERS]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *prefixes], names=["id", "set", *names])
 
         return handle
 
-    return arrow_map(own, make, "id long, set binary")
-
+    return arrow_map(own, make, "id long, set binary, " + ", ".join(f"{n} binary" for n in names))
 
-def prefix_under(s: np.ndarray, multiplier: int, percent: int) -> np.ndarray:
-    key = mixed(s * U(multiplier))
-    p = int(prefix_length(len(s), percent))
-    return s if p >= len(s) else s[np.argpartition(key, p - 1)[:p]]
 
+def both_sides(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b and the columns of either side, as x_... and y_...."""
+    side = lambda end, lead: sets.select(F.col("id").alias(end), *(F.col(c).alias(f"{lead}_{c}") for c in columns))
+    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", *(f"{lead}_{c}" for c in columns for lead in "xy"))
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Filters under the further orders, then the whole intersection."""
-    if min(len(x), len(y)) * 100 < max(len(x), len(y)) * percent:
-        return False
-    for m in ORDERS:
-        if not len(np.intersect1d(prefix_under(x, m, percent), prefix_under(y, m, percent), assume_unique=True)):
-            return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
 
-
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links. Batches are small, and sets are read where they lie."""
-    sets = saved(sets_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))), "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+def kept_pairs(joined: DataFrame, test, names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """The pairs whose cells pass ``test``."""
 
     def make():
         def handle(batch):
-            read = lambda cell: np.frombuffer(cell.as_buffer(), U)
-            ok = pa.array([similar(read(x), read(y), percent) for x, y in zip(column(batch, "x"), column(batch, "y"))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([column(batch, "a").filter(ok), column(batch, "b").filter(ok)], names=["u", "v"])
+            cells = [column(batch, c) for c in batch.schema.names[2:]]
+            ok = pa.array([test(*row) for row in zip(*cells)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([column(batch, "a").filter(ok), column(batch, "b").filter(ok)], names=list(names))
 
         return handle
 
-    return saved(arrow_map(joined.select("a", "b", "x", "y"), make, "u long, v long"), "links")
+    return arrow_map(joined, make, f"{names[0]} long, {names[1]} long")
+
+
+def share_prefixes(*cells) -> bool:
+    """Whether both sides share a token among their prefixes under every further order."""
+    read = lambda cell: np.frombuffer(cell.as_buffer(), "<u4")
+    return all(len(np.intersect1d(read(x), read(y), assume_unique=True)) for x, y in zip(cells[::2], cells[1::2]))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links: those that share prefixes under all orders, whose whole sets are then intersected."""
+    sets = saved(sets_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), percent), "sets")
+    passed = saved(kept_pairs(both_sides(pairs, sets, [f"p{i}" for i in range(len(ORDERS))]), share_prefixes), "passed")
+
+    def similar(x, y) -> bool:
+        x, y = (np.frombuffer(c.as_buffer(), U) for c in (x, y))
+        if min(len(x), len(y)) * 100 < max(len(x), len(y)) * percent:
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return saved(kept_pairs(both_sides(passed, sets, ["set"]), similar, ("u", "v")), "links")
 
 
 def forest(link: np.ndarray) -> np.ndarray:
@@ -398,10 +508,9 @@ def forest(link: np.ndarray) -> np.ndarray:
         label = new
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a cell's documents."""
-    n = np.array([len(s) for s in sets])
-    tok, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two sets share, some thousand tokens at a time."""
+    tok, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, col, count = np.unique(tok, return_inverse=True, return_counts=True)
     keep = count[col] > 1
     col, row = col[keep], row[keep]
@@ -414,10 +523,22 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
         m = np.zeros((len(sets), min(4096, len(used) - at)), np.float32)
         m[row[a:b], col[a:b] - at] = 1
         both += m @ m.T
-    both = both.astype(np.int64)
-    link = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-    np.fill_diagonal(link, False)
-    label = forest(link)
+    return both
+
+
+def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among a cell's documents: pairs that share prefixes under all orders are verified."""
+    n = np.array([len(s) for s in sets])
+    pair = np.minimum(n[:, None], n) * 100 >= np.maximum(n[:, None], n) * percent
+    np.fill_diagonal(pair, False)
+    for m in ORDERS:
+        pair &= shared_counts([prefix_under(s, m, percent) for s in sets]) > 0
+    left = np.flatnonzero(pair.any(1))
+    if not len(left):
+        return []
+    pair, n, ids = pair[np.ix_(left, left)], n[left], ids[left]
+    both = shared_counts([sets[i] for i in left]).astype(np.int64)
+    label = forest(pair & (100 * both >= percent * (n[:, None] + n - both)))
     return [(int(ids[i]), int(ids[j])) for i, j in enumerate(label) if i != j and ids[i] != ids[j]]
 
 
@@ -428,16 +549,17 @@ def cells_of(rows: DataFrame) -> DataFrame:
     documents connect is one cell if its documents times its blocks are fewer
     than the rows of its lists times theirs, so the cells are never more.
     """
-    least = rows.groupBy("heavy").agg(F.min("doc_id").alias("m"))
-    family = components(rows.join(least, "heavy").where("doc_id > m").select("doc_id", "m").distinct(), "doc_id", "m")
-    rows = rows.join(family, rows["doc_id"] == family["node"]).select("heavy", "doc_id", "blocks", F.col("component").alias("family"))
-    whole = rows.groupBy("family", "doc_id").agg(F.sum("blocks").alias("cost"))
-    sizes = whole.groupBy("family").agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("docs")).withColumn("needs", F.ceil(F.col("docs") / BLOCK).cast("int"))
-    cheap = sizes.where(F.col("docs") * F.col("needs") <= F.col("cost"))
-    dear = sizes.where(F.col("docs") * F.col("needs") > F.col("cost")).select("family")
+    least = rows.groupBy("heavy").agg(F.min("doc_id").alias("m"), F.count(F.lit(1)).alias("k"))
+    family = components(shuffled_apart(rows, least, "heavy", "k").where("doc_id > m").select("doc_id", "m").distinct(), "doc_id", "m")
+    rows = saved(rows.join(family, rows["doc_id"] == family["node"]).select("heavy", "doc_id", "blocks", F.col("component").alias("family")), "family-rows")
+    whole = saved(rows.groupBy("family", "doc_id").agg(F.sum("blocks").alias("cost"), F.count(F.lit(1)).alias("k")), "families")
+    sizes = whole.groupBy("family").agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("docs"), F.sum("k").alias("k")).withColumn("needs", F.ceil(F.col("docs") / BLOCK).cast("int"))
+    sizes = saved(sizes, "family-sizes")
+    cheap = sizes.where(F.col("docs") * F.col("needs") <= F.col("cost")).select("family", "needs", "docs")
+    dear = sizes.where(F.col("docs") * F.col("needs") > F.col("cost")).select("family", "k")
     # numbers of families and of lists may meet: the flag keeps them apart
-    one = whole.join(cheap.select("family", "needs"), "family").select(F.col("family").alias("heavy"), F.lit(True).alias("is_family"), "doc_id", F.col("needs").alias("blocks"))
-    return one.union(rows.join(dear, "family").select("heavy", F.lit(False).alias("is_family"), "doc_id", "blocks"))
+    one = shuffled_apart(whole.select("family", "doc_id"), cheap, "family", "docs").select(F.col("family").alias("heavy"), F.lit(True).alias("is_family"), "doc_id", F.col("needs").alias("blocks"))
+    return one.union(shuffled_apart(rows, dear, "family", "k").select("heavy", F.lit(False).alias("is_family"), "doc_id", "blocks"))
 
 
 def heavy_links(docs: DataFrame, rows: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -445,13 +567,16 @@ def heavy_links(docs: DataFrame, rows: DataFrame, links: DataFrame, percent: int
     comp = components(links)
     # one of each text in a list; its component from what is linked so far
     rows = rows.groupBy("heavy", "h").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    rows = rows.join(comp, rows["doc_id"] == comp["node"], "left").select("heavy", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    lists = rows.groupBy("heavy").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("heavy", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = saved(rows.join(lists, "heavy").select("heavy", "doc_id", "blocks"), "heavy-rows")
+    rows = saved(rows.join(comp, rows["doc_id"] == comp["node"], "left").select("heavy", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")), "heavy-texts")
+    lists = rows.groupBy("heavy").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("heavy", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    lists = saved(lists, "heavy-lists")
+    if lists.isEmpty():
+        return links.where("false")
+    rows = saved(shuffled_apart(rows, lists, "heavy", "size").select("heavy", "doc_id", "blocks"), "heavy-rows")
     rows = saved(cells_of(rows).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "cells")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = rows.withColumn("other", other).select("heavy", "is_family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id")
-    sets = saved(sets_of(docs, rows), "sets")
+    sets = saved(sets_of(docs, rows, percent).select("id", "set"), "sets")
     joined = cells.join(sets, cells["doc_id"] == sets["id"]).select("heavy", "is_family", "i", "j", "doc_id", "set")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -479,30 +604,34 @@ def heavy_links(docs: DataFrame, rows: DataFrame, links: DataFrame, percent: int
 def join_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    tune(spark, BATCH_ROWS)
+    tune(spark)
     docs = docs.select("doc_id", "text")
     bits = sized(docs)
+    first = min(bits, COARSE)
     path = new_dir(spark, "first-pass")
-    first_pass(docs, bits).write.parquet(path)
+    first_pass(docs, first).write.parquet(path)
     held = spark.read.schema("doc_id long, digest binary, n long, r int, blob binary").parquet(path)
     rows = saved(held.where("blob is null").select("doc_id", "digest", "n"), "rows")
     heavy = heavy_tokens(held.where("blob is not null").select("r", "blob"), bits)
     drop_dir(spark, path)
 
     path = new_dir(spark, "second-pass")
-    second_pass(docs, bits, heavy, percent).write.parquet(path)
+    second_pass(docs, first, heavy, percent).write.parquet(path)
     held = spark.read.schema("r int, tok binary, at binary, docs binary, heavy long, doc_id long, h long, n long").parquet(path)
-    pairs = light_pairs(held.where("r is not null").select("r", "tok", "at", "docs"), bits, percent)
-    listed = saved(held.where("heavy is not null").select("heavy", "doc_id", "h", "n"), "heavy-rows")
-    least = listed.groupBy("heavy").agg(F.min(F.struct("doc_id", "n")).alias("m"))
-    star = listed.join(least, "heavy").where("doc_id > m.doc_id and least(n, m.n) * 100 >= greatest(n, m.n) * %d" % percent).select(F.col("m.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    pairs = saved(pairs.union(star).distinct(), "pairs")
+    found = saved(light_pairs(held.where("r is not null").select("r", "tok", "at", "docs"), bits, percent), "postings")
+    listed = saved(held.where("heavy is not null").select("heavy", "doc_id", "h", "n").union(found.where("heavy is not null").select("heavy", "doc_id", "h", "n")), "heavy-rows")
+    pairs, some_heavy = enough_shared(found), not listed.isEmpty()
+    if some_heavy:
+        least = saved(listed.groupBy("heavy").agg(F.min(F.struct("doc_id", "n")).alias("m"), F.count(F.lit(1)).alias("k")), "heavy-least")
+        star = shuffled_apart(listed, least, "heavy", "k").where("doc_id > m.doc_id and least(n, m.n) * 100 >= greatest(n, m.n) * %d" % percent).select(F.col("m.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        pairs = pairs.union(star).distinct()
+    pairs = saved(pairs, "pairs")
     drop_dir(spark, path)
 
     links = verified(docs, pairs, percent)
-    more = heavy_links(docs, listed, links, percent)
-    equal = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    equal = rows.where("n > 0").join(equal, "digest").where("doc_id > v").select(F.col("doc_id").alias("u"), "v")
+    more = heavy_links(docs, listed, links, percent) if some_heavy else links.where("false")
+    equal = saved(rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1"), "equal")
+    equal = shuffled_apart(rows.where("n > 0").select("doc_id", "digest"), equal, "digest", "k").where("doc_id > v").select(F.col("doc_id").alias("u"), "v")
     comp = components(links.union(more).union(equal))
     return rows.join(comp, rows["doc_id"] == comp["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fidelmill.llm import ngram, pivots
@@ -22,10 +23,17 @@ def test_join_matches_brute_force(docs, rows):
         assert (got[d].n_shingles, got[d].component_id) == (sizes[d], classes[d])
 
 
-def test_heavy_lists_lose_no_link(spark, monkeypatch):
-    """A family of near copies larger than the heavy limit, at similarities around the threshold, in several blocks."""
+@pytest.mark.parametrize("known, coarse, range_bytes", [(1_000_000, 11, 16 << 20), (0, 11, 16 << 20), (40, 1, 1 << 12)])
+def test_heavy_lists_lose_no_link(spark, monkeypatch, known, coarse, range_bytes):
+    """A family of near copies larger than the heavy limit, at similarities around the threshold, in several blocks.
+
+    With all heavy tokens known; with none, so that posting lists are long; with some, and ranges dealt twice.
+    """
     monkeypatch.setattr(ngram, "HEAVY", 8)
     monkeypatch.setattr(ngram, "BLOCK", 16)
+    monkeypatch.setattr(ngram, "MAX_HEAVY", known)
+    monkeypatch.setattr(ngram, "COARSE", coarse)
+    monkeypatch.setattr(ngram, "RANGE_BYTES", range_bytes)
     r = random.Random(5)
     base = [f"w{r.randint(0, 400)}" for _ in range(150)]
     rows = []
@@ -47,6 +55,29 @@ def test_keep_one(docs, rows):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(classes.values()))
 
 
+def test_pairs_end_at_prefixes_before_sets_are_moved(spark):
+    """Two texts that share some shingles often share a prefix token under one order, but seldom under all."""
+    r = random.Random(3)
+    rows = []
+    for i in range(60):
+        common = [f"c{i}_{j}" for j in range(12)]
+        rows += [(2 * i + k, " ".join(common + [f"d{i}_{k}_{r.randint(0, 10**6)}" for _ in range(40)])) for k in (0, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(60)], "a long, b long")
+    sets = ngram.sets_of(d, d.select("doc_id"), 80)
+    passed = ngram.kept_pairs(ngram.both_sides(pairs, sets, ["p0", "p1"]), ngram.share_prefixes).count()
+    assert passed < 60 and ngram.verified(d, pairs, 80).count() == 0
+
+
+def test_long_words_and_pieces(monkeypatch):
+    r = random.Random(8)
+    text = " ".join("w" * r.randint(1, 40) + str(r.randint(0, 99)) for _ in range(5000)).encode()
+    whole = ngram.shingle_sets([text, b"", b"a b", text[:1000]])
+    monkeypatch.setattr(ngram, "RUN_BYTES", 777)
+    assert all((a == b).all() for a, b in zip(whole, ngram._sets([text, b"", b"a b", text[:1000]])))
+    assert ngram.normalized(" A\t b\n\x0b " * 200) == b" ".join([b"a b"] * 200)
+
+
 def test_empty_join(empty):
     assert ngram.join_classes(empty).count() == 0
 
@@ -82,5 +113,30 @@ def test_pivot_recall_at_the_threshold(spark):
     assert pivots.near_duplicates(d).agg(F.sum("n_links")).first()[0] / 800 >= 0.9
 
 
+def test_lengths_do_not_mix_and_repeats_are_rows(spark):
+    """Two lengths of vectors, long lists in blocks, repeated ids and an extra column."""
+    g = np.random.default_rng(4)
+    rows = []
+    for dim, at in ((16, 0), (24, 1000), (3, 2000)):
+        x = g.normal(size=(150, dim))
+        x[20:100] = x[0] + 0.02 * g.normal(size=(80, dim))
+        x[100:110] = x[3]
+        rows += [(at + i, v.tolist(), "x") for i, v in enumerate(x)]
+    rows += [(5, rows[200][1], "y"), (3000, [2.0], "z"), (3001, [5.0], "z"), (None, [1.0], "z")]
+    ids, links = range(len(rows)), []
+    count = [0] * len(rows)
+    for i in ids:
+        for j in range(i + 1, len(rows)):
+            a, b = np.array(rows[i][1]), np.array(rows[j][1])
+            if len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.95:
+                count[i], count[j] = count[i] + 1, count[j] + 1
+                links.append((rows[i][0], rows[j][0]))
+    node = components(sorted({r[0] for r in rows if r[0] is not None}), [x for x in links if None not in x])
+    d = spark.createDataFrame([(v, e, k, k) for v, e, k in rows], "vec_id long, embedding array<double>, cls string, digest string").repartition(3)
+    got = sorted((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id or 0) for r in pivots.near_duplicates(d).collect())
+    want = sorted((v is None, v or 0, n, 0 if v is None else node[v]) for (v, _, _), n in zip(rows, count))
+    assert got == want
+
+
 def test_no_vectors(spark):
     assert pivots.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
