@@ -3,6 +3,9 @@
 Tokens are summed per source; a source's rate is its target over its tokens.
 Each document is emitted floor(rate) times, and once more if a number hashed
 from its id and a seed falls below the fraction, so reruns and lost tasks agree.
+The draws of one seed can leave a source of few documents off its target, so
+every source is summed under ``SEEDS`` seeds at once and takes the one whose sum
+is nearest its target. Texts are counted once; what follows reads ids and sizes.
 
 Targets share a budget by weight, capped at ``max_rate`` times the source; what
 is over a cap goes to the others by weight. With sources in order of cap/weight
@@ -10,8 +13,8 @@ the capped ones are a prefix, so running sums give every target in closed form.
 
 Defined results. Null text: size 0. Null source: a source of its own, last in
 order. Source without words: rate 0, taken 0. Null doc_id hashes as the empty
-text; repeated rows draw alike. Empty table: no rows. Extra columns pass through
-``emit`` whatever their names.
+text; repeated rows draw alike. Equally near seeds: the first. Empty table: no
+rows. Extra columns pass through ``emit`` whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fidelmill.llm.common import small
+from fidelmill.llm.common import saved, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,30 +54,52 @@ def targets(sizes: DataFrame, pattern: tuple[int, ...] = (3, 1, 2), budget: floa
     return s.select("source", "source_size", target.alias("target"))
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) from the id and the seed; 32 bits of md5, the same on every engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+#: Seeds that a source is summed under: four hashes of an id give four draws each.
+SEEDS = 16
 
 
-OWN = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+def draw(doc_id: Column, seed: int, number: Column | int) -> Column:
+    """A number in [0, 1) from the id, the seed and the draw's number; 32 bits of an md5, the same on every engine."""
+    number = number if isinstance(number, Column) else F.lit(number)
+    key = F.concat((F.floor(number / 4) + seed).cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    return F.conv(F.md5(key.cast("binary")).substr((number % 4 * 8 + 1).cast("int"), F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, *, pattern: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, max_rate: float = 2.0, seed: int = 42) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies (how often the mix emits the row); columns of these names are replaced."""
-    docs = docs.drop(*OWN)
-    own = docs.select(docs["*"], words(docs["text"]).alias("mix_size"))
-    sizes = docs.select("source", words(docs["text"]).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
-    t = small(targets(sizes, pattern, budget, max_rate).select(F.col("source").alias("of_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")))
-    rate = F.when(t["mix_source_size"] > 0, t["mix_target"] / t["mix_source_size"]).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (draw(own["doc_id"], seed) < rate - F.floor(rate)).cast("long")
-    return own.join(t, own["source"].eqNullSafe(t["of_source"])).select(own["*"], t["mix_source_size"], t["mix_target"], copies.alias("mix_copies"))
+def plan(docs: DataFrame, *, pattern: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, max_rate: float = 2.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """doc_id, source, size of every row, and source, source_size, target, rate, number (of the draw) of every source."""
+    sizes = saved(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "mix-sizes")
+    t = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), pattern, budget, max_rate)
+    t = saved(t.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))), "mix-targets")
+    of = small(t.select(F.col("source").alias("of_source"), "rate"))
+    rows = sizes.join(of, sizes["source"].eqNullSafe(of["of_source"])).select("source", "doc_id", "size", "rate")
+    fraction = F.col("rate") - F.floor("rate")
+    taken = [F.sum(F.col("size") * (F.floor("rate") + (draw(F.col("doc_id"), seed, i) < fraction).cast("long"))).alias(f"n{i}") for i in range(SEEDS)]
+    sums = rows.groupBy("source").agg(*taken)
+    both = t.join(sums.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source")))
+    off = F.array(*(F.abs(F.col(f"n{i}") - F.col("target")) for i in range(SEEDS)))
+    return sizes, saved(both.select("source", "source_size", "target", "rate", (F.array_position(off, F.array_min(off)) - 1).cast("int").alias("number")), "mix-plan")
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
+def copies(doc_id: Column, rate: Column, number: Column, seed: int) -> Column:
+    return F.floor(rate) + (draw(doc_id, seed, number) < rate - F.floor(rate)).cast("long")
+
+
+def taken(docs: DataFrame, *, seed: int = 42, **options) -> DataFrame:
+    """doc_id, size, source_size, target, copies and taken (words the mix takes of the row) of every row."""
+    sizes, sources = plan(docs, seed=seed, **options)
+    s = small(sources.withColumnRenamed("source", "of_source"))
+    rows = sizes.join(s, sizes["source"].eqNullSafe(s["of_source"])).withColumn("copies", copies(F.col("doc_id"), F.col("rate"), F.col("number"), seed))
+    return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def emit(docs: DataFrame, *, seed: int = 42, **options) -> DataFrame:
     """The mix itself: each row as often as it is taken, in the columns of ``docs``, whatever their names."""
-    held = docs.select("doc_id", "text", "source", F.struct("*").alias("row"))
-    taken = mix(held, **options).where("mix_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return taken.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    _, sources = plan(docs, seed=seed, **options)
+    s = small(sources.withColumnRenamed("source", "of_source"))
+    held = docs.select("doc_id", "source", F.struct("*").alias("row"))
+    rows = held.join(s, held["source"].eqNullSafe(s["of_source"])).select("row", copies(F.col("doc_id"), F.col("rate"), F.col("number"), seed).alias("copies"))
+    rows = rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 ORACLE = r"""
@@ -87,8 +112,10 @@ r AS (SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5
 l AS (SELECT *, ("all" - capped) / rest_w AS level FROM r),
 c AS (SELECT (SELECT level FROM l WHERE w * level < cap ORDER BY cap / w, source NULLS LAST LIMIT 1) AS common),
 t AS (SELECT source, source_size, CASE WHEN common IS NULL OR w * common >= cap THEN cap ELSE w * common END AS target FROM l, c),
-m AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-  ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken FROM m
+m AS (SELECT d.doc_id, d.size, t.source, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT *, i, size * (floor(rate) + (('0x' || substr(md5((42 + i // 4)::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')), i % 4 * 8 + 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE < rate - floor(rate))::INT) AS n
+  FROM m, range(16) r(i)),
+b AS (SELECT source, i FROM (SELECT source, i, row_number() OVER (PARTITION BY source ORDER BY abs(sum(n) - any_value(target)), i) AS k FROM u GROUP BY source, i) WHERE k = 1)
+SELECT doc_id, size, source_size, target, n::BIGINT AS taken FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source AND u.i = b.i
 """

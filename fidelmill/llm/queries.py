@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fidelmill.llm import bitpack, counts, html, langid, media, mixing, ngram, oracles, packing, pivots, toxicity
 from fidelmill.llm.common import load
@@ -13,8 +12,7 @@ from fidelmill.llm.tokens import tokenizer_path
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mixing.mix(load(spark, sf_dir, "documents"))
-    return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    return mixing.taken(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +40,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, manifest = bitpack.write_ids(load(spark, sf_dir, "documents"), path=tokenizer_path("byte_bpe_50k.json"), vocabulary=50_257, end_id=0)
+    folder, manifest = bitpack.write_ids(load(spark, sf_dir, "documents"), path=tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return bitpack.read_ids(spark, folder, manifest)
 
 

@@ -36,10 +36,9 @@ def test_run_matches_plain_steps(spark, final):
     classes = components(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
     kept = [rows[d] for d in ids if classes[d] == d]
     size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in kept}
-    copies = {r.doc_id: r.mix_copies for r in mixing.mix(spark.createDataFrame(kept, docs.schema)).collect()}
+    copies = {r.doc_id: r.copies for r in mixing.taken(spark.createDataFrame(kept, docs.schema)).collect()}
     assert set(copies) == set(size)
     t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = {}
     for r in kept:
         if copies[r.doc_id]:
