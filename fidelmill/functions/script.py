@@ -121,8 +121,9 @@ def homophone_variants(c: str, policy: Fold = Fold()) -> list[str]:
 # ---- character classes ---------------------------------------------------------------------------------------------
 
 
-def _class(points: Iterable[int]) -> str:
-    """The inside of a bracket expression that holds the code points, in a form both Java and RE2 read."""
+def _class(points: Iterable[int], python: bool = False) -> str:
+    """The inside of a bracket expression that holds the code points, in a form that Java and RE2 read, or Python."""
+    form = "\\U{:08X}" if python else "\\x{{{:X}}}"
     out, run = [], []
     for p in [*points, None]:
         if run and p == run[-1] + 1:
@@ -130,7 +131,7 @@ def _class(points: Iterable[int]) -> str:
             continue
         if run:
             a, b = run[0], run[-1]
-            out.append(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else ""))
+            out.append(form.format(a) + ("-" + form.format(b) if b > a else ""))
         run = [p] if p is not None else []
     return "".join(out)
 
@@ -139,13 +140,29 @@ def _points(test: Callable[[str], bool]) -> list[int]:
     return [p for p in range(sys.maxunicode + 1) if not 0xD800 <= p <= 0xDFFF and test(chr(p))]
 
 
+@lru_cache
+def token_points() -> dict[str, list[int]]:
+    """Code points of space, punct and number, by Python's rules."""
+    return {"space": sorted(map(ord, BREAKS)), "punct": _points(lambda c: unicodedata.category(c)[0] == "P" and c not in BREAKS), "number": _points(lambda c: c in DIGITS or c.isdigit())}
+
+
+@lru_cache
+def python_token_pattern() -> str:
+    """As ``token_pattern``, for Python, with a named group for each kind."""
+    c = {k: _class(v, True) for k, v in token_points().items()}
+    return "|".join(f"(?P<{k}>[{v}]+)" for k, v in c.items()) + f"|(?P<word>[^{''.join(c.values())}]+)"
+
+
+@lru_cache
+def python_word_pattern() -> str:
+    return f"[^{''.join(_class(v, True) for v in token_points().values())}]+"
+
+
 @lru_cache
 def classes() -> dict[str, str]:
     """space, punct, number (by Python's rules) and letter classes, disjoint where tokens need it."""
     return {
-        "space": _class(sorted(map(ord, BREAKS))),
-        "punct": _class(_points(lambda c: unicodedata.category(c)[0] == "P" and c not in BREAKS)),
-        "number": _class(_points(lambda c: c in DIGITS or c.isdigit())),
+        **{k: _class(v) for k, v in token_points().items()},
         "letter": _class(_points(str.isalpha)),
         "ethiopic": _class(p for a, b in (MAIN, *OTHER_BLOCKS) for p in range(a, b + 1)),
         "other_ethiopic": _class(p for a, b in OTHER_BLOCKS for p in range(a, b + 1)),
@@ -158,6 +175,12 @@ def ethiopic_letters() -> str:
     return _class(p for a, b in (MAIN, *OTHER_BLOCKS) for p in range(a, b + 1) if chr(p).isalpha())
 
 
+@lru_cache
+def main_letters() -> str:
+    """Letters of the main block and of the extension, as far as an importer counts them."""
+    return _class(p for a, b in (MAIN, (0x2D80, 0x2DDE)) for p in range(a, b + 1) if chr(p).isalpha())
+
+
 @lru_cache
 def token_pattern() -> str:
     c = classes()
@@ -246,3 +269,9 @@ def numeral(value: Column) -> Column:
     high, low = F.floor(value / 10000), value % 10000
     big = F.concat(F.when(high > 1, four(high)).otherwise(""), F.when(high > 0, chars[10000]).otherwise(""), four(low))
     return F.when((value > 0) & (value < 100_000_000), big)
+
+
+def same_family(a: Column, b: Column) -> Column:
+    """Whether two characters are syllables of one row."""
+    rows = F.create_map(*(x for c, (row, _) in syllables().items() for x in (F.lit(c), F.lit(row))))
+    return F.coalesce(F.try_element_at(rows, a) == F.try_element_at(rows, b), F.lit(False))

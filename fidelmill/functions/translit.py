@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,28 +51,39 @@ def token_map() -> dict[str, str]:
     return out | MARKS
 
 
-def transliterate(text: Column) -> Column:
-    """A whole text at once. Consonants and orders are looked up apart, so both maps stay small."""
-    table = F.create_map(*(c for k, v in rows().items() for c in (F.lit(k), F.array(*map(F.lit, v)))))
-    rest = F.create_map(*(F.lit(c) for k, v in ({k: compose(ALF, o) for k, o in LONE_VOWELS.items()} | MARKS).items() for c in (k, v)))
-    pairs = [k for k in CONSONANT_ROWS if len(k) == 2]
+class Spellings(dict):
+    """What runs without a space are spelt as; emptied when it is large, so a worker's memory is bounded."""
+
+    MOST = 400_000
+
+    def __init__(self):
+        self.cut, self.spelt = re.compile(pattern()), token_map()
 
-    def one(t: Column) -> Column:
-        n = F.length(t)
-        two = F.substring(t, 1, 2).isin(pairs)
-        key = F.substring(t, 1, 1)
-        key = F.when(two, F.substring(t, 1, 2)).otherwise(key)
-        after = t.substr(F.when(two, F.lit(3)).otherwise(F.lit(2)), F.lit(3))
-        order = F.when(F.length(after) == 0, F.lit(BARE)).when(F.length(after) > 1, F.lit(7)).otherwise(F.instr(F.lit(VOWELS), after) - 1)
-        return F.coalesce(F.when(n <= 5, F.element_at(F.try_element_at(table, key), (order + 1).cast("int"))), F.when(n <= 3, F.try_element_at(rest, t)), t)
+    def __missing__(self, run: str) -> str:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[run] = out = self.cut.sub(lambda m: self.spelt.get(m[0], m[0]), run)
+        return out
 
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern()), F.lit(0)), one), "")
+
+@lru_cache
+def spellings() -> Spellings:
+    return Spellings()
 
 
 def transliterate_text(text: str) -> str:
-    """The same for one Python string."""
-    table = token_map()
-    return re.sub(pattern(), lambda m: table.get(m[0], m[0]), text)
+    """A whole text at once. No key holds a space, so runs between spaces are spelt by themselves, and words repeat."""
+    return " ".join(map(spellings().__getitem__, text.split(" ")))
+
+
+def transliterate(text: Column) -> Column:
+    """The same for a column, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else transliterate_text(t) for t in texts], dtype=object)
+
+    return run(text)
 
 
 def keyboard() -> list[tuple[str, str, str]]:
@@ -82,3 +94,67 @@ def keyboard() -> list[tuple[str, str, str]]:
             seen.add(r)
             out.append((k, compose(r, 0) or "", " ".join(compose(r, o) or "·" for o in range(7))))
     return out
+
+
+class Typing:
+    """Keys typed one at a time: ``feed`` tells how many characters before the cursor go and what comes.
+
+    What a key does depends on what the last ones left open: a consonant that a
+    second key or a vowel may still change, a syllable whose vowel is set, or a
+    mark that another key may extend. A single ``w`` makes the eighth form here.
+    """
+
+    def __init__(self):
+        self.reset()
+
+    def reset(self) -> None:
+        """The cursor moved: nothing is open."""
+        self.consonant = self.marks = ""
+        self.vowelled = False
+
+    def _rules(self, key: str, marks: str):
+        """(deleted, inserted, state after) of every rule that the key meets, in order of precedence; state is (consonant, vowelled, marks)."""
+        open_, row = self.consonant, CONSONANT_ROWS.get(self.consonant, 0)
+        if open_ and not self.vowelled and open_ + key in CONSONANT_ROWS:
+            yield 1, compose(CONSONANT_ROWS[open_ + key], BARE), (open_ + key, False, "")
+        if open_ and not self.vowelled and key in VOWELS:
+            yield 1, compose(row, VOWELS.index(key)), (open_, True, "")
+        if open_ and self.vowelled and key in "wW":
+            yield 1, compose(row, 7), ("", False, "")
+        if key in CONSONANT_ROWS:
+            yield 0, compose(CONSONANT_ROWS[key], BARE), (key, False, "")
+        if key in LONE_VOWELS:
+            yield 0, compose(ALF, LONE_VOWELS[key]), ("", False, "")
+        if marks and marks + key in MARKS:
+            yield 1, MARKS[marks + key], (open_, self.vowelled, marks + key)
+        if key in MARKS:
+            yield 0, MARKS[key], ("", False, key)
+
+    def feed(self, key: str) -> tuple[int, str, bool]:
+        """(characters to delete, text to insert, whether the key was taken) of one key."""
+        marks, self.marks = self.marks, ""
+        for deleted, inserted, state in self._rules(key, marks) if len(key) == 1 else ():
+            if inserted:
+                self.consonant, self.vowelled, self.marks = state
+                return deleted, inserted, True
+        self.reset()
+        return 0, "", False
+
+
+def typed_text(keys: str) -> str:
+    """What stands in the editor after the keys were typed in a row; a key that is not taken stands for itself."""
+    typing, out = Typing(), ""
+    for key in keys:
+        deleted, inserted, taken = typing.feed(key)
+        out = (out[: len(out) - deleted] + inserted) if taken else out + key
+    return out
+
+
+def typed(keys: Column) -> Column:
+    """``typed_text`` of a column, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else typed_text(t) for t in texts], dtype=object)
+
+    return run(keys)

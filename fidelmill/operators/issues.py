@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fidelmill.functions import distance, normalize, script
 from fidelmill.operators import lexicon as lex
-from fidelmill.operators.tokens import word_table
+from fidelmill.operators.tokens import match_table, word_table
 
 COLUMNS = ("page_id", "start", "end", "kind", "severity", "word", "suggestion", "score", "verified", "gap", "observed_known")
 SEVERITIES = ("high", "medium", "low")
@@ -30,11 +30,10 @@ def _issue(df: DataFrame, kind: str, severity: Column | str, word: Column, sugge
 
 def suspect_characters(pages: DataFrame) -> DataFrame:
     """Invisible characters, and those of the script's other blocks."""
-    bad = f"[{normalize.INVISIBLE}{script.classes()['other_ethiopic']}]"
-    c = pages.where(F.col("text").rlike(bad)).select("page_id", F.posexplode(F.split("text", "")).alias("start", "ch")).where(F.col("ch").rlike(bad)).withColumn("end", F.col("start") + 1)
-    invisible = F.col("ch").rlike(f"[{normalize.INVISIBLE}]")
-    a = _issue(c.where(invisible), "suspect_character", "high", F.col("ch"), F.lit(""), 0.0, True)
-    return a.union(_issue(c.where(~invisible), "non_amharic_script", "high", F.col("ch")))
+    other = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in script.OTHER_BLOCKS)
+    invisible = match_table(pages, f"[{normalize.INVISIBLE}]")
+    a = _issue(invisible, "suspect_character", "high", F.col("m"), F.lit(""), 0.0, True)
+    return a.union(_issue(match_table(pages, f"[{other}]"), "non_amharic_script", "high", F.col("m")))
 
 
 def mixed_script(words: DataFrame) -> DataFrame:
@@ -43,26 +42,15 @@ def mixed_script(words: DataFrame) -> DataFrame:
     return _issue(words.where((F.length("word") >= 2) & (own > 0) & (latin > 0) & (own >= latin)), "mixed_script", "high", F.col("word"))
 
 
-def _matches(pages: DataFrame, pattern: str, group: int = 0) -> DataFrame:
-    """page_id, start, end, m of every match: offsets are lengths of what lies between, in code points."""
-    p = pages.where(F.col("text").rlike(pattern))
-    p = p.select("page_id", F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all("text", F.lit(pattern), F.lit(group)).alias("g"))
-    p = p.select("page_id", F.posexplode("m").alias("i", "whole"), "gaps", "m", "g")
-    upto = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda x, y: x + F.length(y))
-    at = upto(F.col("gaps"), F.col("i") + 1) + F.when(F.col("i") > 0, upto(F.col("m"), F.greatest(F.col("i"), F.lit(1)))).otherwise(0)
-    inner = F.element_at("g", F.col("i") + 1)
-    lead = F.length("whole") - F.length(inner) if group else F.lit(0)
-    return p.select("page_id", (at + lead).alias("start"), (at + F.length("whole")).alias("end"), inner.alias("m"))
-
-
-MARKS = "[።-፨]"
+#: Ge'ez marks that may be doubled or lead a line (Python classes: matches are cut in Arrow batches).
+MARKS = "[\u1362-\u1368]"
 
 
 def punctuation(pages: DataFrame) -> DataFrame:
     """A mark doubled, a mark that leads a line, a colon on its own."""
-    doubled = _issue(_matches(pages, "([።-፨])\\1+"), "punctuation", "medium", F.col("m"), F.substring("m", 1, 1), 0.1, True)
-    leading = _issue(_matches(pages, f"(?dm)^[ \t]*({MARKS})", 1), "punctuation", "low", F.col("m"))
-    colon = _issue(_matches(pages, f"(?<={normalize.OWN})[{normalize.SPACE}]+:[{normalize.SPACE}]+"), "punctuation", "medium", F.col("m"), F.lit(script.WORDSPACE), 0.05, True)
+    doubled = _issue(match_table(pages, f"({MARKS})\\1+"), "punctuation", "medium", F.col("m"), F.substring("m", 1, 1), 0.1, True)
+    leading = _issue(match_table(pages, f"(?m)^[ \t]*({MARKS})", 1), "punctuation", "low", F.col("m"))
+    colon = _issue(match_table(pages, f"(?<={normalize.OWN})\\s+:\\s+"), "punctuation", "medium", F.col("m"), F.lit(script.WORDSPACE), 0.05, True)
     return doubled.union(leading).union(colon)
 
 
@@ -90,7 +78,7 @@ def unknown_words(words: DataFrame, recognized: DataFrame, ranked: DataFrame | N
     return out.withColumn("verified", F.col("suggestion").isNotNull())
 
 
-def split_words(words: DataFrame, known: DataFrame, lexicon: DataFrame, affixes: bool = False) -> DataFrame:
+def split_words(words: DataFrame, known: DataFrame, lexicon: DataFrame, affixes: bool = True) -> DataFrame:
     """Neighbours that are one known word together, and not both known apart. ``known`` covers the single words."""
     k = known.select(F.col("word").alias("k"), "known")
     p = _next(words).where("next is not null")
@@ -101,7 +89,7 @@ def split_words(words: DataFrame, known: DataFrame, lexicon: DataFrame, affixes:
     return _issue(p, "split_word", "medium", F.concat_ws(" ", "word", "next"), F.col("joined"), 0.2, True)
 
 
-def run_together(words: DataFrame, known: DataFrame, lexicon: DataFrame, affixes: bool = False) -> DataFrame:
+def run_together(words: DataFrame, known: DataFrame, lexicon: DataFrame, affixes: bool = True) -> DataFrame:
     """Unknown words that some cut leaves as two known ones; the first such cut."""
     u = known.where("not known").select("word").where(F.length("word") >= 4)
     word = F.col("word")
@@ -147,7 +135,7 @@ def deduplicated(*issues: DataFrame) -> DataFrame:
 
 def auto_applied(pages: DataFrame, issues: DataFrame, most: float = 0.35, least_gap: float = 0.25) -> DataFrame:
     """page_id, text, applied: sure suggestions (cheap, well ahead of the second, for no known word) spliced in from the right; of overlapping spans the first stays."""
-    sure = issues.where(F.col("verified") & (F.col("score") <= most) & (F.col("gap").isNull() | (F.col("gap") >= least_gap)) & ~F.col("observed_known"))
+    sure = issues.where(auto_applicable(most, least_gap))
     w = Window.partitionBy("page_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     sure = sure.withColumn("reach", F.coalesce(F.max("end").over(w), F.lit(0))).where("start >= reach")
     spans = sure.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "suggestion")), asc=False).alias("spans"))
@@ -168,14 +156,40 @@ def reranked(words: DataFrame, ranked: DataFrame, pairs: DataFrame, weight: floa
     return c.withColumn("rank", rank).where(F.col("rank") <= most).select("page_id", "word_no", "word", "rank", "surface", "score")
 
 
-def next_issue(cursors: DataFrame, issues: DataFrame) -> DataFrame:
-    """page_id, at, start: the first issue after each place, else the page's first."""
-    firsts = issues.groupBy("page_id").agg(F.min("start").alias("first"))
-    later = cursors.join(issues.select("page_id", "start"), "page_id").where("start > at").groupBy("page_id", "at").agg(F.min("start").alias("later"))
-    return cursors.join(firsts, "page_id").join(later, ["page_id", "at"], "left").select("page_id", "at", F.coalesce("later", "first").alias("start"))
+def next_issue(cursors: DataFrame, issues: DataFrame, back: bool = False) -> DataFrame:
+    """page_id, at, start: the first issue after each place, else the page's first; backwards the last before it, else the last."""
+    pick = F.max if back else F.min
+    ends = issues.groupBy("page_id").agg(pick("start").alias("end_one"))
+    near = cursors.join(issues.select("page_id", "start"), "page_id").where("start < at" if back else "start > at").groupBy("page_id", "at").agg(pick("start").alias("near"))
+    return cursors.join(ends, "page_id").join(near, ["page_id", "at"], "left").select("page_id", "at", F.coalesce("near", "end_one").alias("start"))
+
+
+def at_offset(places: DataFrame, issues: DataFrame) -> DataFrame:
+    """page_id, at, start, kind: the first issue whose span holds each place (page_id, at), ends included."""
+    j = places.join(issues.select("page_id", "start", "end", "kind"), "page_id").where("start <= at and at <= end")
+    return j.groupBy("page_id", "at").agg(F.min(F.struct("start", "end", "kind")).alias("i")).select("page_id", "at", "i.start", "i.kind")
+
+
+def totals(issues: DataFrame) -> DataFrame:
+    """severity, n, n_auto: issues of each severity, and those that may be applied without asking."""
+    return issues.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.count_if(auto_applicable()).alias("n_auto"))
+
+
+def auto_applicable(most: float = 0.35, least_gap: float = 0.25) -> Column:
+    """Whether an issue's best suggestion is corroborated, cheap, well ahead of the second, and replaces no known word."""
+    return F.col("verified") & (F.col("score") <= most) & (F.col("gap").isNull() | (F.col("gap") >= least_gap)) & ~F.col("observed_known")
+
+
+def explained(source: Column, observed: Column, candidate: Column) -> Column:
+    """Why a candidate was found: the vowels that differ, or what kind of likeness it is."""
+    rows = F.create_map(*(x for c, (row, _) in script.syllables().items() for x in (F.lit(c), F.lit(row))))
+    both = F.filter(F.arrays_zip(F.split(observed, "").alias("a"), F.split(candidate, "").alias("b")), lambda p: p["a"].isNotNull() & p["b"].isNotNull() & (p["a"] != p["b"]))
+    vowels = F.transform(F.filter(both, lambda p: F.try_element_at(rows, p["a"]) == F.try_element_at(rows, p["b"])), lambda p: F.concat(p["a"], F.lit("→"), p["b"]))
+    order = F.when(F.size(vowels) > 0, F.concat(F.lit("Vowel order: "), F.array_join(vowels, ", "))).otherwise("Same consonant skeleton")
+    return F.when(source == "order", order).when(source == "family", "Visually similar consonant").when(source == "indel", "A character was added or lost").otherwise(source)
 
 
-def detected(pages: DataFrame, lexicon: DataFrame, affixes: bool = False, suggest: bool = False, readings: DataFrame | None = None) -> DataFrame:
+def detected(pages: DataFrame, lexicon: DataFrame, affixes: bool = True, suggest: bool = False, readings: DataFrame | None = None) -> DataFrame:
     """All detectors, one issue a span; with ``suggest`` unknown words get candidates in their context, with ``readings`` those of other readers are compared."""
     words = word_table(pages)
     known = lex.recognized(words, lexicon, affixes)

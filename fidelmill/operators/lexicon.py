@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelmill.functions import distance, morph, script
-from fidelmill.operators.tokens import word_pairs, words_only
+from fidelmill.operators.tokens import words_only
 
 
 def count_words(words: DataFrame) -> DataFrame:
@@ -34,9 +34,12 @@ def merge(*parts: DataFrame) -> DataFrame:
 
 
 def bigrams(pages: DataFrame) -> DataFrame:
-    """w1, w2 (folded), freq."""
-    p = word_pairs(pages)
-    return p.groupBy(script.fold(F.col("w1")).alias("w1"), script.fold(F.col("w2")).alias("w2")).agg(F.count(F.lit(1)).alias("freq"))
+    """w1, w2 (folded), freq. Texts are folded as a whole but for the marks that folding drops, which go word by word: a word of nothing else stays one."""
+    whole = pages.select("page_id", script.fold(F.col("text"), script.Fold(gemination=False)).alias("text"))
+    words = F.transform(script.words(F.col("text")), lambda w: F.translate(w, script.GEMINATION, ""))
+    w, n = F.col("w"), F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.explode(F.arrays_zip(F.slice(w, 1, n).alias("w1"), F.slice(w, 2, n).alias("w2"))).alias("p")
+    return whole.select(words.alias("w")).select(pairs).groupBy(F.col("p.w1").alias("w1"), F.col("p.w2").alias("w2")).agg(F.count(F.lit(1)).alias("freq"))
 
 
 def deletions(lexicon: DataFrame, least: int = 20) -> DataFrame:
@@ -51,9 +54,15 @@ def known(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return w.join(forms, "folded", "left").select("word", F.coalesce("known", F.lit(False)).alias("known"))
 
 
+def inflected(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """word of the distinct ``words`` some reading of which has a known stem."""
+    r = words.select("word", F.explode(morph.stem_sets(F.col("word"))).alias("stem")).withColumn("folded", script.fold(F.col("stem")))
+    return r.join(lexicon.select("folded").distinct(), "folded", "left_semi").select("word").distinct()
+
+
 def analyses(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """word, stem, depth, prefixes, suffixes: the shallowest reading whose stem is known."""
-    w = words.select("word").distinct()
+    w = inflected(words.select("word").distinct(), lexicon)
     r = w.select("word", F.posexplode(morph.stems(F.col("word"))).alias("pos", "r")).withColumn("folded", script.fold(F.col("r.stem")))
     hit = r.join(lexicon.select("folded").distinct(), "folded", "left_semi")
     best = hit.groupBy("word").agg(F.min_by("r", "pos").alias("r"))
@@ -65,7 +74,7 @@ def recognized(words: DataFrame, lexicon: DataFrame, affixes: bool = True) -> Da
     flat = known(words, lexicon)
     if not affixes:
         return flat
-    rest = analyses(flat.where("not known"), lexicon).select("word", F.lit(True).alias("inflected"))
+    rest = inflected(flat.where("not known").select("word"), lexicon).withColumn("inflected", F.lit(True))
     return flat.join(rest, "word", "left").select("word", (F.col("known") | F.coalesce("inflected", F.lit(False))).alias("known"))
 
 
@@ -115,7 +124,7 @@ def candidates(words: DataFrame, lexicon: DataFrame, *, most: int = 8, cutoff: f
     return p.withColumn("rank", rank).where(F.col("rank") <= most).select("word", "rank", "surface", "source", "cost", "freq", "score")
 
 
-def unknown_rates(pages: DataFrame, lexicon: DataFrame, affixes: bool = False) -> DataFrame:
+def unknown_rates(pages: DataFrame, lexicon: DataFrame, affixes: bool = True) -> DataFrame:
     """page_id, n_words, n_unknown: recognition on distinct words, joined back to the counts of each page."""
     per = words_only(pages).groupBy("page_id", "word").agg(F.count(F.lit(1)).alias("n"))
     seen = recognized(per, lexicon, affixes)
@@ -126,3 +135,33 @@ def learned(corrections: DataFrame) -> DataFrame:
     """observed, intended, n: substitutions of aligned (before, after) pairs."""
     ops = corrections.select(F.explode(distance.alignment(F.col("before"), F.col("after"))).alias("o")).where("o.op = 'sub'")
     return ops.groupBy("o.observed", "o.intended").agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_confusions(learned: DataFrame, limit: int = 20) -> DataFrame:
+    """The commonest confusions; equal counts by their characters."""
+    return learned.orderBy(F.desc("n"), "observed", "intended").limit(limit)
+
+
+def costs_of(learned: DataFrame, most: int = 1 << 20) -> distance.Costs:
+    """The model of learned confusions: one row a pair of characters, so small; an error beyond ``most``."""
+    rows = learned.select("observed", "intended", "n").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} confusions")
+    return distance.Costs({(r[0], r[1]): r[2] for r in rows})
+
+
+#: Frequencies of the tiers of a seed list, the commonest words first.
+TIERS = (10_000, 3_000, 800, 200)
+
+
+def seeded(words: DataFrame) -> DataFrame:
+    """surface, freq, source of a seed list (word, tier from 0): the frequency of the highest tier that names a word."""
+    tier = F.array(*map(F.lit, TIERS))
+    return words.where(F.trim("word") != "").groupBy(F.trim("word").alias("surface")).agg(F.max(F.element_at(tier, F.col("tier") + 1)).cast("long").alias("freq"), F.lit("seed").alias("source"))
+
+
+def from_sources(seed: DataFrame, counts: DataFrame, least: int = 3) -> DataFrame:
+    """The lexicon of a seed list and a corpus' counts (word, freq): seed words whatever their count."""
+    corpus = counts.where(F.col("freq") >= least).select(F.col("word").alias("surface"), "freq", F.lit("corpus").alias("source"))
+    both = merge(corpus, seed.select("surface", "freq", "source"))
+    return both.select("surface", script.fold(F.col("surface")).alias("folded"), script.skeleton(F.col("surface")).alias("skeleton"), "freq", "source")

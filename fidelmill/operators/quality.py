@@ -27,7 +27,7 @@ def grade(score: Column) -> Column:
     return out.otherwise("poor")
 
 
-def page_quality(pages: DataFrame, lexicon: DataFrame, issues: DataFrame | None = None, affixes: bool = False) -> DataFrame:
+def page_quality(pages: DataFrame, lexicon: DataFrame, issues: DataFrame | None = None, affixes: bool = True) -> DataFrame:
     """A row of figures for each page (page_id, text, status, mean_conf): see the last select."""
     bad = f"[{script.classes()['other_ethiopic']}]"
     p = pages.select(
@@ -47,12 +47,12 @@ def page_quality(pages: DataFrame, lexicon: DataFrame, issues: DataFrame | None
         F.when((c("n_words") > 0) & (c("unknown_rate") > 0.4), "very high unknown-word rate"),
         F.when((c("ratio") < 0.6) & (c("n_words") > 5), "mostly non-Ethiopic text"),
         F.when(c("n_suspect") > 0, F.concat(c("n_suspect").cast("string"), F.lit(" impossible characters"))),
-        F.when((c("n_words") > 0) & (c("n_chars") / F.greatest(c("n_words"), F.lit(1)) > 24), "very long words"),
+        F.when((c("n_words") > 0) & (c("n_chars") / F.greatest(c("n_words"), F.lit(1)) > 24), "very long words — word separators may be missing"),
         F.when((c("mean_conf") > 0) & (c("mean_conf") < 0.6), "low recognizer confidence"),
         F.when(c("run") > 0, "run-together words"),
         F.when((c("n_chars") > 0) & (c("inked") == ""), "blank"),
     )
-    return p.select("page_id", "status", "n_chars", "n_words", "unknown_rate", "mean_conf", "ratio", "score", grade(c("score")).alias("grade"), F.array_join(F.filter(flags, lambda x: x.isNotNull()), "; ").alias("flags"))
+    return p.select("page_id", "status", "n_chars", "n_words", "unknown_rate", "mean_conf", "ratio", "score", "high", grade(c("score")).alias("grade"), F.array_join(F.filter(flags, lambda x: x.isNotNull()), "; ").alias("flags"))
 
 
 def worst_pages(quality: DataFrame, limit: int = 20) -> DataFrame:
@@ -80,3 +80,45 @@ def rare_characters(hist: DataFrame, most: int = 3) -> DataFrame:
 
 def impossible_characters(hist: DataFrame) -> DataFrame:
     return hist.where(F.col("ch").rlike(f"[{script.classes()['other_ethiopic']}]"))
+
+
+def percent(share: Column) -> Column:
+    """A share as whole per cent; halves round to even."""
+    return F.concat(F.bround(share * 100).cast("int").cast("string"), F.lit("%"))
+
+
+def described(label: Column, quality: DataFrame) -> DataFrame:
+    """page_id, line: a page's label, grade, score, unknown words and flags in words."""
+    flags = F.when(F.col("flags") != "", F.concat(F.lit(", flags: "), F.replace("flags", F.lit("; "), F.lit(", ")))).otherwise("")
+    return quality.select("page_id", F.concat(label, F.lit(": "), F.col("grade"), F.lit(" ("), percent(F.col("score")), F.lit(") — "), percent(F.col("unknown_rate")), F.lit(" unknown words, "), F.col("n_words").cast("string"), F.lit(" words"), flags).alias("line"))
+
+
+def summary(book: DataFrame) -> Column:
+    """One line about a book's totals."""
+    return F.concat(
+        F.col("n_pages").cast("string"), F.lit(" pages · quality "), percent(F.col("mean_score")), F.lit(" · "), F.format_string("%.1f", F.col("unknown_rate") * 100), F.lit("% unknown words · "),
+        F.col("verified").cast("string"), F.lit("/"), F.col("n_pages").cast("string"), F.lit(" verified"),
+    )
+
+
+def list_rows(pages: DataFrame, quality: DataFrame) -> DataFrame:
+    """page_id, line: a page's label with its grade and unknown words, or with its status where nothing was assessed."""
+    q = quality.where("n_words > 0").select("page_id", F.concat(F.col("grade"), F.lit(" · "), percent(F.col("unknown_rate")), F.lit(" unknown")).alias("second"))
+    return pages.select("page_id", "label", "status").join(q, "page_id", "left").select("page_id", F.concat("label", F.lit("\n"), F.coalesce("second", F.replace("status", F.lit("_"), F.lit(" ")))).alias("line"))
+
+
+def readiness(n_lines: Column) -> Column:
+    """What the number of training lines is enough for."""
+    return F.when(n_lines < 150, F.concat(F.lit("Verify more pages — about "), (150 - n_lines).cast("string"), F.lit(" more lines needed before fine-tuning pays off."))).when(
+        n_lines < 600, "Enough to fine-tune. Expect a solid gain on this book's typeface."
+    ).otherwise("Plenty of training data. Fine-tuning should give a large gain.")
+
+
+def heat(confidence: Column) -> Column:
+    """The colour class of a confidence."""
+    return F.when(confidence >= 0.90, "verified").when(confidence >= 0.75, "low").when(confidence >= 0.55, "medium").otherwise("high")
+
+
+def confidence(score: Column) -> Column:
+    """A suggestion's cost as a confidence from 0 to 1."""
+    return 1 / (1 + F.greatest(F.lit(0.0), score))

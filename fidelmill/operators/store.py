@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelmill.functions import script
+from fidelmill.operators.tokens import match_table
 
 LEARNED_KINDS = ("manual", "accepted")
+#: What Python counts as white space beyond the JVM's ``\\s``.
+_SPACES = r"\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 HEADINGS = ("chapter", "heading", "subheading")
 FURNITURE = ("running_head", "page_number")
 
@@ -61,7 +64,8 @@ def known_corrections(edits: DataFrame, least: int = 2) -> DataFrame:
 
 
 def _pattern(before: str, whole_word: bool) -> str:
-    return f"(?<![\\p{{L}}\\p{{N}}_])\\Q{before}\\E(?![\\p{{L}}\\p{{N}}_])" if whole_word else f"\\Q{before}\\E"
+    """As a whole word: white space, a word separator or nothing before; one of these or a mark after."""
+    return f"(?<![^\\s\u1361{_SPACES}])\\Q{before}\\E(?![^\\s\u1361-\u1368{_SPACES}])" if whole_word else f"\\Q{before}\\E"
 
 
 def occurrences_of(text: Column, before: str, whole_word: bool = True) -> Column:
@@ -84,7 +88,7 @@ def _replaced(text: str, before: str, after: str) -> str:
     out, done, i = [], 0, text.find(before)
     while i >= 0:
         end = i + len(before)
-        whole = not _WORD.match(text[i - 1 : i]) and not _WORD.match(text[end : end + 1])
+        whole = (not i or _apart(text[i - 1])) and (end == len(text) or _apart(text[end]) or "\u1362" <= text[end] <= "\u1368")
         if whole:
             out += text[done:i], after
             done = end
@@ -92,21 +96,47 @@ def _replaced(text: str, before: str, after: str) -> str:
     return "".join((*out, text[done:]))
 
 
-_WORD = re.compile(r"\w+")  # letters, numbers and _
+def _apart(c: str) -> bool:
+    return c.isspace() or c == script.WORDSPACE
+
+
+_GAPS = re.compile(r"[\s\u1361]+")
+
+
+def _first(before: str) -> str:
+    """The longest of the runs between spaces that ``before`` is made of, but the last, to which marks may be joined; or the last."""
+    runs = [r for r in _GAPS.split(before) if r]
+    return max(runs[:-1] if len(runs) > 1 else runs, key=len, default="")
 
 
 def replay(corrections: list[tuple[str, str]]) -> Callable[[str], str]:
     """A function of a text that applies all corrections, each to what the ones before it left.
 
-    A whole-word match has the words of ``before`` as words of the text, so only the corrections
-    whose longest word the text has, or got by a correction before, are looked for.
+    A match stands between spaces, and only marks may follow it at once. So the text
+    has the longest run of ``before`` as a run of its own, or, if that is its only one,
+    as the beginning of a run that goes on with a mark: only the corrections that are
+    found so, in the text or in what a correction before put there, are looked for.
     """
-    by_word = defaultdict(list)
+    by_run = defaultdict(list)
+    loose = []
     for rank, (before, _) in enumerate(corrections):
-        by_word[max(_WORD.findall(before), key=len, default="")].append(rank)
+        if not before:
+            continue
+        if _GAPS.match(before[0]) or _GAPS.match(before[-1]) or not _first(before):
+            loose.append(rank)  # spaces at its edges: any text may hold it
+        else:
+            by_run[_first(before)].append(rank)
+
+    def ranks_in(text: str) -> set[int]:
+        found = set()
+        for run in set(_GAPS.split(text)):
+            found.update(by_run.get(run, ()))
+            for m in _MARKED.finditer(run):
+                found.update(by_run.get(run[: m.start()], ()))
+        return found
 
     def run(text: str) -> str:
-        ranks = sorted(r for w in {*_WORD.findall(text), ""} for r in by_word.get(w, ()))
+        ranks = sorted(ranks_in(text) | set(loose))
         held = set(ranks)
         while ranks:
             rank = heappop(ranks)
@@ -115,9 +145,7 @@ def replay(corrections: list[tuple[str, str]]) -> Callable[[str], str]:
             if new == text:
                 continue
             text = new
-            # between two matches that touch words may join, but only if no word stands at the edges of ``before``
-            joins = not _WORD.match(before[0]) and not _WORD.match(before[-1])
-            for r in (r for w in set(_WORD.findall(text if joins else after)) for r in by_word.get(w, ())):
+            for r in ranks_in(text):  # what was put there may touch what stood beside it
                 if r > rank and r not in held:
                     held.add(r)
                     heappush(ranks, r)
@@ -126,6 +154,9 @@ def replay(corrections: list[tuple[str, str]]) -> Callable[[str], str]:
     return run
 
 
+_MARKED = re.compile("[\u1362-\u1368]")
+
+
 def apply_ledger(pages: DataFrame, corrections: DataFrame) -> DataFrame:
     """page_id, text after all corrections, one after the other, the commonest first; empty ``before`` is none. The whole ledger goes to every worker."""
     rows = corrections.where("before <> ''").orderBy(F.desc("n"), "before").select("before", "after").collect()
@@ -140,16 +171,18 @@ def apply_ledger(pages: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def occurrences(pages: DataFrame, needle: str, folded: bool = False, context: int = 28) -> DataFrame:
-    """page_id, offset, excerpt of every occurrence, overlapping ones too."""
+    """page_id, offset, excerpt of every occurrence, overlapping ones too; found where a text lies."""
     hay = script.fold(F.col("text")) if folded else F.col("text")
-    n = len(needle)
-    # cut at the needle's first character: each piece's length gives the places to look at
     p = pages.select("page_id", "text", hay.alias("hay")).where(F.col("hay").contains(needle))
-    at = F.filter(F.transform(F.split("hay", f"(?=\\Q{needle}\\E)"), lambda s: F.length(s)), lambda x: x > 0)
-    starts = F.transform(F.sequence(F.lit(0), F.size("lens") - 1), lambda i: F.aggregate(F.slice("lens", 1, i), F.lit(0), lambda a, b: a + b))
-    p = p.withColumn("lens", at).withColumn("offset", F.explode(starts)).where(F.substring(F.col("hay"), 1, 0).isNotNull() & (F.col("hay").substr(F.col("offset") + 1, F.lit(n)) == needle))
+    places = match_table(p.select("page_id", F.col("hay").alias("text")), f"(?=({re.escape(needle)}))").select("page_id", F.col("start").alias("offset"))
     lo = F.greatest(F.col("offset") - context, F.lit(0))
-    return p.select("page_id", "offset", F.col("text").substr(lo + 1, F.col("offset") + n + context - lo).alias("excerpt"))
+    return places.join(p.select("page_id", "text"), "page_id").select("page_id", "offset", F.col("text").substr(lo + 1, F.col("offset") + len(needle) + context - lo).alias("excerpt"))
+
+
+def first_results(found: DataFrame, pages: DataFrame, limit: int = 500) -> DataFrame:
+    """The search panel's first ``limit`` places, in order of page and offset, with labels."""
+    rows = found.join(pages.select("page_id", "idx", "label"), "page_id").orderBy("idx", "offset").limit(limit)
+    return rows.select("page_id", "label", "offset", F.concat(F.lit("…"), F.replace("excerpt", F.lit("\n"), F.lit(" ")), F.lit("…")).alias("context"))
 
 
 def excerpt(text: Column, most: int = 40) -> Column:
@@ -179,7 +212,7 @@ def full_text(pieces: DataFrame, key: str, order: str, text: str = "text", betwe
 
 
 def filter_mode(quality: DataFrame, mode: str) -> DataFrame:
-    """Pages of a list mode: all, new, recognized (or in review), verified, worst (lowest score first)."""
+    """Pages of a list mode: all, new, recognized (or in review), verified, worst (lowest score first; pages without a score count as 0)."""
     conditions = {"all": "true", "new": "status = 'new'", "recognized": "status in ('recognized', 'in_review')", "verified": "status = 'verified'", "worst": "true"}
     q = quality.where(conditions[mode])
-    return q.orderBy("score", "page_id") if mode == "worst" else q
+    return q.orderBy(F.coalesce("score", F.lit(0.0)), "page_id") if mode == "worst" else q

@@ -1,26 +1,81 @@
-"""Token, word and character tables of a page table (page_id, text)."""
+"""Token, word and character tables of a page table (page_id, text).
+
+Offsets are known inside a text, so tables with offsets are cut where a page lies, in
+Arrow batches, and nothing is shuffled or sorted. Tables without them are expressions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fidelmill.functions import script
 
+#: Characters of text whose tokens leave a task at once, about.
+CHARACTERS = 1 << 18
+
+
+def _cut(pages: DataFrame, pattern: str, columns: Callable[[list, np.ndarray], dict], schema: str) -> DataFrame:
+    """A row for each match of ``pattern`` in every text: page_id and ``columns(matches, number within the page)``."""
+
+    def run(batches):
+        find = re.compile(pattern).finditer
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            at = 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size < CHARACTERS):
+                    size += len(texts[end] or "")
+                    end += 1
+                found = [list(find(t)) if t else [] for t in texts[at:end]]
+                counts = np.array([len(f) for f in found])
+                matches = [m for f in found for m in f]
+                number = np.arange(len(matches)) - np.repeat(np.cumsum(counts) - counts, counts)
+                got = {"page_id": ids.take(pa.array(np.repeat(np.arange(at, end), counts))), **columns(matches, number)}
+                yield pa.RecordBatch.from_pydict(got)
+                at = end
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "text").mapInArrow(run, f"page_id {kind}, {schema}")
+
 
 def token_table(pages: DataFrame) -> DataFrame:
-    """page_id, pos, start, end, kind, token. Offsets count code points and are sums of token lengths."""
-    t = pages.select("page_id", F.posexplode(script.tokens(F.col("text"))).alias("pos", "token"))
-    before = F.coalesce(F.sum(F.length("token")).over(Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    t = t.withColumn("start", before)
-    return t.select("page_id", "pos", "start", (F.col("start") + F.length("token")).alias("end"), script.token_kind(F.col("token")).alias("kind"), "token")
+    """page_id, pos, start, end, kind, token. Offsets count code points; all tokens together are the text."""
+
+    def columns(matches, number):
+        return {
+            "pos": pa.array(number, pa.int32()), "start": pa.array([m.start() for m in matches], pa.int32()), "end": pa.array([m.end() for m in matches], pa.int32()),
+            "kind": pa.array([m.lastgroup for m in matches], pa.string()), "token": pa.array([m[0] for m in matches], pa.string()),
+        }
+
+    return _cut(pages, script.python_token_pattern(), columns, "pos int, start int, end int, kind string, token string")
 
 
 def word_table(pages: DataFrame) -> DataFrame:
-    """Word tokens with offsets, and their number within the page."""
-    w = token_table(pages).where("kind = 'word'")
-    n = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1
-    return w.select("page_id", n.alias("word_no"), "start", "end", F.col("token").alias("word"))
+    """page_id, word_no (from 0), start, end, word of every word."""
+
+    def columns(matches, number):
+        return {
+            "word_no": pa.array(number, pa.int32()), "start": pa.array([m.start() for m in matches], pa.int32()), "end": pa.array([m.end() for m in matches], pa.int32()),
+            "word": pa.array([m[0] for m in matches], pa.string()),
+        }
+
+    return _cut(pages, script.python_word_pattern(), columns, "word_no int, start int, end int, word string")
+
+
+def match_table(pages: DataFrame, pattern: str, group: int = 0) -> DataFrame:
+    """page_id, start, end, m of every match of a (Python) pattern's group; offsets count code points."""
+
+    def columns(matches, number):
+        return {"start": pa.array([m.start(group) for m in matches], pa.int32()), "end": pa.array([m.end(group) for m in matches], pa.int32()), "m": pa.array([m[group] for m in matches], pa.string())}
+
+    return _cut(pages, pattern, columns, "start int, end int, m string")
 
 
 def words_only(pages: DataFrame) -> DataFrame:
@@ -30,9 +85,9 @@ def words_only(pages: DataFrame) -> DataFrame:
 
 def word_pairs(pages: DataFrame) -> DataFrame:
     """page_id, w1, w2 of neighbouring words, across marks and lines."""
-    w = F.col("w")
-    pairs = F.arrays_zip(F.slice(w, 1, F.size(w) - 1).alias("w1"), F.slice(w, 2, F.size(w) - 1).alias("w2"))
-    return pages.select("page_id", script.words(F.col("text")).alias("w")).where(F.size("w") > 1).select("page_id", F.explode(pairs).alias("p")).select("page_id", "p.w1", "p.w2")
+    w, n = F.col("w"), F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice(w, 1, n).alias("w1"), F.slice(w, 2, n).alias("w2"))
+    return pages.select("page_id", script.words(F.col("text")).alias("w")).select("page_id", F.explode(pairs).alias("p")).select("page_id", "p.w1", "p.w2")
 
 
 def characters(pages: DataFrame) -> DataFrame:

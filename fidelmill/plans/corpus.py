@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelmill.functions import script
+from fidelmill.functions import morph, script
 from fidelmill.functions.translit import pattern, token_map, transliterate
 from fidelmill.operators import lexicon as lex
 from fidelmill.operators.tokens import word_table, words_only
@@ -27,7 +27,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if table == "documents" and len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if table == "documents" and len(df.inputFiles()) < cores else df  # one file of one row group is one task
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,19 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_pages(spark, sf_dir).withColumn("text", transliterate(F.col("text")))
 
 
+#: What is planted in the pages of ``marked_pages``: characters of other blocks, without ink, doubled and leading marks, a colon on its own.
+PLANTED = "\u2d80\u200bሰላም።። ቤት : ሰላ\n፣ሰላም"
+
+
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, each followed by what the detectors of characters and marks look for, as often as its number says (0 to 2)."""
+    n = F.pmod("page_id", F.lit(3)).cast("int")
+    return pages(spark, sf_dir).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.repeat(F.lit("\n" + PLANTED), n)))
+
+
+MARKED_SQL = f"marked AS (SELECT page_id, book, coalesce(text, '') || repeat(chr(10) || {"'" + PLANTED.replace(chr(10), "' || chr(10) || '") + "'"}, (page_id % 3)::INTEGER) AS text FROM pages)"
+
+
 def store_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, idx, book, text, status, mean_conf."""
     labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(F.col("quality") == 1, "verified").otherwise("in_review").alias("s"))
@@ -99,7 +112,7 @@ def with_pages(body: str, *more: str) -> str:
         "pages AS (SELECT d.doc_id AS page_id, d.source AS book, coalesce(s.text, d.text) AS text FROM documents d LEFT JOIN spelt s USING (doc_id))",
         *more,
     ]
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
 
 
 def words_cte(source: str = "pages") -> str:
@@ -127,9 +140,31 @@ def lexicon_cte(least: int = LEXICON_LEAST) -> str:
 
 
 def known_cte() -> str:
+    """CTE known(word, known) of the words of CTE words: in the lexicon as they are."""
     return f"known AS (SELECT word, {fold_sql('word')} IN (SELECT folded FROM lexicon) AS known FROM (SELECT DISTINCT word FROM words))"
 
 
+def recognized_cte(name: str = "known", source: str = "SELECT DISTINCT word FROM words") -> str:
+    """CTE ``name`` (word, known) of distinct words: in the lexicon, or as a stem with up to three affixes."""
+    listed = lambda forms: "[" + ", ".join(map(text_of, forms)) + "]"
+    vowels, plain = map(text_of, morph.bare_table())
+    long = lambda x: f"length(stem) - length({x}) >= {morph.LEAST_STEM}"
+    bare = lambda x: f"{x}[:length({x}) - 1] || {plain}[strpos({vowels}, {x}[length({x})])]"
+    can = lambda x: f"strpos({vowels}, {x}[length({x})]) > 0"
+    cuts = f"[stem[:length(stem) - length(s)] FOR s IN {listed(morph.SUFFIXES)} IF ends_with(stem, s) AND {long('s')}]"
+    heads = f"[stem[length(p) + 1:] FOR p IN {listed(morph.PREFIXES)} IF starts_with(stem, p) AND {long('p')}]"
+    return (
+        f"{name}_flat AS (SELECT word, {fold_sql('word')} IN (SELECT folded FROM lexicon) AS known FROM ({source})),\n"
+        f"{name}_reads(word, stem, depth) AS (SELECT word, word, 0 FROM {name}_flat WHERE NOT known UNION\n"
+        f" SELECT word, unnest(list_concat(list_concat(heads, cuts), [{bare('x')} FOR x IN list_concat(cuts, [stem]) IF length(x) >= {morph.LEAST_STEM} AND {can('x')}])), depth + 1\n"
+        f" FROM (SELECT word, stem, depth, {heads} AS heads, {cuts} AS cuts FROM {name}_reads WHERE depth < {morph.MOST_AFFIXES})),\n"
+        f"{name} AS (SELECT word, known OR word IN (SELECT word FROM {name}_reads WHERE {fold_sql('stem')} IN (SELECT folded FROM lexicon)) AS known FROM {name}_flat)"
+    )
+
+
+#: CTE neighbours(page_id, start, "end", word, next, next_end): each word with the one after it.
+NEIGHBOURS_SQL = 'neighbours AS (SELECT page_id, start, "end", word, lead(word) OVER w AS next, lead("end") OVER w AS next_end FROM placed_words WINDOW w AS (PARTITION BY page_id ORDER BY word_no))'
+
 EDITS_SQL = """turns AS (SELECT conv_id, turn, regexp_extract(text, '[A-Za-z]+') AS first FROM conversations),
 edits AS (SELECT a.conv_id * 1000 + a.turn AS edit_id, a.conv_id AS page_id, a.first AS before, b.first AS after,
   ['manual', 'accepted', 'auto', 'propagated'][((a.conv_id + a.turn) % 4 + 1)::INTEGER] AS kind FROM turns a JOIN turns b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fidelmill.functions import distance, morph, normalize, script, translit
-from fidelmill.operators import document, geometry, issues, quality, store
+from fidelmill.operators import document, geometry, issues, quality, store, voting
 from fidelmill.operators import lexicon as lex
 from fidelmill.operators.tokens import token_table, word_table, words_only
 from fidelmill.plans.corpus import (
-    BOXES_SQL, EDITS_SQL, STORE_SQL, boxes, edits, fold_sql, known_cte, lexicon, lexicon_cte, load, pages, raw_pages, skeleton_sql, sql_class, store_pages, text_of, tokens_cte, with_pages, words_cte,
+    BOXES_SQL, EDITS_SQL, MARKED_SQL, NEIGHBOURS_SQL, STORE_SQL, boxes, edits, fold_sql, known_cte, lexicon, lexicon_cte, load, marked_pages, pages, raw_pages, recognized_cte, skeleton_sql, sql_class, store_pages, text_of, tokens_cte, with_pages, words_cte,
 )
 from fidelmill.sources import text as source
 
@@ -90,7 +91,11 @@ def order_variants(spark, sf):
     return spark.createDataFrame([(c, v) for c in script.syllables() for v in script.order_variants(c)], "ch string, variant string")
 
 
-@query("homophone_variants")
+@query(
+    "homophone_variants",
+    "WITH g(n, b) AS (VALUES (0, 4608), (0, 4624), (0, 4736), (1, 4656), (1, 4640), (2, 4768), (2, 4816), (3, 4920), (3, 4928)), s AS (SELECT n, b, o, chr((b + o)::INTEGER) AS ch FROM g, (SELECT unnest(range(8)) AS o) WHERE b + o NOT IN (4695, 4799, 4823))"
+    " SELECT x.ch, y.ch AS variant FROM s x JOIN s y ON x.n = y.n AND x.ch <> y.ch AND (x.o = y.o OR x.n = 0 AND x.o IN (0, 3) AND y.o IN (0, 3))",
+)
 def homophone_variants(spark, sf):
     return spark.createDataFrame([(c, v) for c in script.syllables() for v in script.homophone_variants(c)], "ch string, variant string")
 
@@ -225,7 +230,7 @@ def known_words(spark, sf):
     return lex.known(words_only(pages(spark, sf)), lexicon(spark, sf))
 
 
-@query("unknown_words", with_pages("SELECT page_id, count(*) AS n_words, sum((NOT known)::INT)::BIGINT AS n_unknown FROM words JOIN known USING (word) GROUP BY page_id", words_cte(), lexicon_cte(), known_cte()))
+@query("unknown_words", with_pages("SELECT page_id, count(*) AS n_words, sum((NOT known)::INT)::BIGINT AS n_unknown FROM words JOIN known USING (word) GROUP BY page_id", words_cte(), lexicon_cte(), recognized_cte()))
 def unknown_words(spark, sf):
     return lex.unknown_rates(pages(spark, sf), lexicon(spark, sf))
 
@@ -288,7 +293,10 @@ def stems_of_words(spark, sf):
 _SPAN = ("page_id", "start", "end", "word")
 
 
-@query("repeated_words", with_pages('SELECT a.page_id, a.start, b."end", a.word || \' \' || b.word AS word FROM placed_words a JOIN placed_words b ON a.page_id = b.page_id AND b.word_no = a.word_no + 1 AND a.word = b.word WHERE length(a.word) >= 2', tokens_cte()))
+_REPEATED = 'found AS (SELECT page_id, start, next_end AS "end", word || \' \' || next AS word FROM neighbours WHERE next = word AND length(word) >= 2)'
+
+
+@query("repeated_words", with_pages('SELECT page_id, start, "end", word FROM found', tokens_cte(), NEIGHBOURS_SQL, _REPEATED))
 def repeated_words(spark, sf):
     return issues.repeated_words(word_table(pages(spark, sf))).select(*_SPAN)
 
@@ -301,32 +309,74 @@ def mixed_script(spark, sf):
     return issues.mixed_script(word_table(pages(spark, sf))).select(*_SPAN)
 
 
-@query("suspect_characters", with_pages(f"SELECT page_id, (i - 1)::INTEGER AS start, i::INTEGER AS \"end\", text[i] AS word FROM (SELECT page_id, text, unnest(range(1, length(text) + 1)) AS i FROM pages WHERE regexp_matches(text, '[{normalize.INVISIBLE}{sql_class('other_ethiopic')}]')) WHERE regexp_matches(text[i], '[{normalize.INVISIBLE}{sql_class('other_ethiopic')}]')"))
+_BAD = f"[{normalize.INVISIBLE}{sql_class('other_ethiopic')}]"
+
+
+@query("suspect_characters", with_pages(f"SELECT page_id, (i - 1)::INTEGER AS start, i::INTEGER AS \"end\", text[i] AS word FROM (SELECT page_id, text, unnest(range(1, length(text) + 1)) AS i FROM marked WHERE regexp_matches(text, '{_BAD}')) WHERE regexp_matches(text[i], '{_BAD}')", MARKED_SQL))
 def suspect_characters(spark, sf):
-    return issues.suspect_characters(pages(spark, sf)).select(*_SPAN)
+    """Over pages in which such characters are planted."""
+    return issues.suspect_characters(marked_pages(spark, sf)).select(*_SPAN)
 
 
-@query("punctuation_issues")
+def _places_sql(pattern: str, lead: str = "", trail: str = "") -> str:
+    """(page_id, start, end, word) of the matches of a pattern in CTE marked: the lengths of what lies before each."""
+    return (
+        f"SELECT page_id, (s + length(m) - length(ltrim(m, {text_of(lead)})))::INTEGER AS start, (s + length(m))::INTEGER AS \"end\", ltrim(m, {text_of(lead)}) AS word FROM (SELECT page_id, m, coalesce(sum(length(g)) OVER w, 0) + coalesce(sum(length(m)) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s"
+        f" FROM (SELECT page_id, unnest(regexp_extract_all(text, {text_of(pattern)})) AS m, unnest(string_split_regex(text, {text_of(pattern)})[:-2]) AS g, generate_subscripts(regexp_extract_all(text, {text_of(pattern)}), 1) AS i FROM marked WHERE regexp_matches(text, {text_of(pattern)})) WINDOW w AS (PARTITION BY page_id ORDER BY i))"
+    )
+
+
+_DOUBLED = "|".join(f"{c}{c}+" for c in "።፣፤፥፦፧፨")
+_COLON = f"[{normalize.SPACE}]+:[{normalize.SPACE}]+"
+
+
+@query(
+    "punctuation_issues",
+    with_pages(
+        f"SELECT page_id, start, \"end\", word, 'medium' AS severity, word[1] AS suggestion FROM ({_places_sql(_DOUBLED)}) UNION ALL SELECT page_id, start, \"end\", word, 'low', NULL FROM ({_places_sql('(?m)^[ ' + chr(9) + ']*[።-፨]', ' ' + chr(9))})"
+        f" UNION ALL SELECT p.page_id, p.start, p.\"end\", p.word, 'medium', '፡' FROM ({_places_sql(_COLON)}) p JOIN marked m USING (page_id) WHERE m.text[p.start] BETWEEN 'ሀ' AND chr(4991)",
+        MARKED_SQL,
+    ),
+)
 def punctuation_issues(spark, sf):
-    return issues.punctuation(pages(spark, sf)).select(*_SPAN, "severity", "suggestion")
+    """Over pages in which such marks are planted."""
+    return issues.punctuation(marked_pages(spark, sf)).select(*_SPAN, "severity", "suggestion")
+
+
+_JOINED = "SELECT DISTINCT word || next AS word FROM neighbours JOIN known a USING (word) JOIN known b ON b.word = neighbours.next WHERE NOT (a.known AND b.known) AND length(neighbours.word || next) >= 3"
 
 
-@query("split_words", with_pages(f"SELECT a.page_id, a.start, b.\"end\", a.word || ' ' || b.word AS word, a.word || b.word AS suggestion FROM placed_words a JOIN placed_words b ON a.page_id = b.page_id AND b.word_no = a.word_no + 1 JOIN known ka ON ka.word = a.word JOIN known kb ON kb.word = b.word WHERE NOT (ka.known AND kb.known) AND length(a.word || b.word) >= 3 AND {fold_sql('(a.word || b.word)')} IN (SELECT folded FROM lexicon)", tokens_cte(), words_cte(), lexicon_cte(), known_cte()))
+@query(
+    "split_words",
+    with_pages(
+        "SELECT n.page_id, n.start, n.next_end AS \"end\", n.word || ' ' || n.next AS word, n.word || n.next AS suggestion FROM neighbours n JOIN known a ON a.word = n.word JOIN known b ON b.word = n.next JOIN whole w ON w.word = n.word || n.next AND w.known WHERE NOT (a.known AND b.known) AND length(n.word || n.next) >= 3",
+        tokens_cte(), words_cte(), lexicon_cte(), NEIGHBOURS_SQL, recognized_cte(), recognized_cte("whole", _JOINED),
+    ),
+)
 def split_words(spark, sf):
     words, lexicon_ = word_table(pages(spark, sf)), lexicon(spark, sf)
-    return issues.split_words(words, lex.known(words, lexicon_), lexicon_).select(*_SPAN, "suggestion")
+    return issues.split_words(words, lex.recognized(words, lexicon_), lexicon_).select(*_SPAN, "suggestion")
+
 
+_CUTS = "cuts AS (SELECT word, i, word[:i] AS a, word[i + 1:] AS b FROM (SELECT word, unnest(range(2, length(word) - 1)) AS i FROM known WHERE NOT known AND length(word) >= 4))"
 
-@query("run_together", with_pages(f"SELECT p.page_id, p.start, p.\"end\", p.word, c.apart AS suggestion FROM placed_words p JOIN (SELECT word, arg_min(word[:i] || ' ' || word[i + 1:], i) AS apart FROM (SELECT word, unnest(range(2, length(word) - 1)) AS i FROM known WHERE NOT known AND length(word) >= 4) WHERE {fold_sql('word[:i]')} IN (SELECT folded FROM lexicon) AND {fold_sql('word[i + 1:]')} IN (SELECT folded FROM lexicon) GROUP BY word) c USING (word)", tokens_cte(), words_cte(), lexicon_cte(), known_cte()))
+
+@query(
+    "run_together",
+    with_pages(
+        "SELECT p.page_id, p.start, p.\"end\", p.word, c.apart AS suggestion FROM placed_words p JOIN (SELECT word, arg_min(a || ' ' || b, i) AS apart FROM cuts WHERE a IN (SELECT word FROM parts WHERE known) AND b IN (SELECT word FROM parts WHERE known) GROUP BY word) c USING (word)",
+        tokens_cte(), words_cte(), lexicon_cte(), recognized_cte(), _CUTS, recognized_cte("parts", "SELECT a AS word FROM cuts UNION SELECT b FROM cuts"),
+    ),
+)
 def run_together(spark, sf):
     words, lexicon_ = word_table(pages(spark, sf)), lexicon(spark, sf)
-    return issues.run_together(words, lex.known(words, lexicon_), lexicon_).select(*_SPAN, "suggestion")
+    return issues.run_together(words, lex.recognized(words, lexicon_), lexicon_).select(*_SPAN, "suggestion")
 
 
-@query("low_confidence", with_pages("SELECT b.page_id, b.start, b.\"end\", b.text AS word, CASE WHEN NOT known AND conf < 0.5 THEN 'medium' ELSE 'low' END AS severity FROM boxes b JOIN known k ON k.word = b.text WHERE conf < 0.72", tokens_cte(), words_cte(), lexicon_cte(), known_cte(), BOXES_SQL))
+@query("low_confidence", with_pages("SELECT b.page_id, b.start, b.\"end\", b.text AS word, CASE WHEN NOT known AND conf < 0.5 THEN 'medium' ELSE 'low' END AS severity FROM boxes b JOIN known k ON k.word = b.text WHERE conf < 0.72", tokens_cte(), words_cte(), lexicon_cte(), recognized_cte(), BOXES_SQL))
 def low_confidence(spark, sf):
     b, lexicon_ = boxes(spark, sf).withColumnRenamed("text", "word"), lexicon(spark, sf)
-    return issues.low_confidence(b, lex.known(b, lexicon_)).select(*_SPAN, "severity")
+    return issues.low_confidence(b, lex.recognized(b, lexicon_)).select(*_SPAN, "severity")
 
 
 def _second_reader(text, word_no):
@@ -350,23 +400,48 @@ def auto_apply(spark, sf):
     return issues.auto_applied(p, _all_issues(p, lexicon(spark, sf)))
 
 
-@query("next_issue", with_pages("SELECT page_id, a AS at, coalesce(min(start) FILTER (start > a), min(start)) AS start FROM found, (VALUES (0), (100), (1000)) t(a) GROUP BY page_id, a", tokens_cte(), "found AS (SELECT a.page_id, a.start FROM placed_words a JOIN placed_words b ON a.page_id = b.page_id AND b.word_no = a.word_no + 1 AND a.word = b.word WHERE length(a.word) >= 2)"))
+_PLACES = "(VALUES (0), (100), (1000)) t(a)"
+
+
+def _cursors(found: DataFrame) -> DataFrame:
+    return found.select("page_id").distinct().select("page_id", F.explode(F.array(F.lit(0), F.lit(100), F.lit(1000))).alias("at"))
+
+
+@query("next_issue", with_pages(f"SELECT page_id, a AS at, coalesce(min(start) FILTER (start > a), min(start)) AS start FROM found, {_PLACES} GROUP BY page_id, a", tokens_cte(), NEIGHBOURS_SQL, _REPEATED))
 def next_issue(spark, sf):
     found = issues.repeated_words(word_table(pages(spark, sf)))
-    places = found.select("page_id").distinct().select("page_id", F.explode(F.array(F.lit(0), F.lit(100), F.lit(1000))).alias("at"))
-    return issues.next_issue(places, found)
+    return issues.next_issue(_cursors(found), found)
+
+
+@query("previous_issue", with_pages(f"SELECT page_id, a AS at, coalesce(max(start) FILTER (start < a), max(start)) AS start FROM found, {_PLACES} GROUP BY page_id, a", tokens_cte(), NEIGHBOURS_SQL, _REPEATED))
+def previous_issue(spark, sf):
+    found = issues.repeated_words(word_table(pages(spark, sf)))
+    return issues.next_issue(_cursors(found), found, back=True)
+
+
+@query("issue_at_offset", with_pages(f'SELECT page_id, a AS at, min(start) AS start, \'repeated_word\' AS kind FROM found, {_PLACES} WHERE start <= a AND a <= "end" GROUP BY page_id, a', tokens_cte(), NEIGHBOURS_SQL, _REPEATED))
+def issue_at_offset(spark, sf):
+    found = issues.repeated_words(word_table(pages(spark, sf)))
+    return issues.at_offset(_cursors(found), found)
+
+
+@query("issue_totals", with_pages("SELECT 'low' AS severity, count(*) AS n, 0::BIGINT AS n_auto FROM found HAVING count(*) > 0 UNION ALL SELECT 'medium', count(*), count(*) FROM placed_words p JOIN together t USING (word) HAVING count(*) > 0", tokens_cte(), words_cte(), lexicon_cte(), NEIGHBOURS_SQL, _REPEATED, recognized_cte(), _CUTS, recognized_cte("parts", "SELECT a AS word FROM cuts UNION SELECT b FROM cuts"), "together AS (SELECT DISTINCT word FROM cuts WHERE a IN (SELECT word FROM parts WHERE known) AND b IN (SELECT word FROM parts WHERE known))"))
+def issue_totals(spark, sf):
+    """Totals of repeated and run-together words."""
+    words, lexicon_ = word_table(pages(spark, sf)), lexicon(spark, sf)
+    return issues.totals(issues.repeated_words(words).unionByName(issues.run_together(words, lex.recognized(words, lexicon_), lexicon_)))
 
 
 # ---- quality ---------------------------------------------------------------------------------------------------------
 
-_QUALITY = f"""quality AS (SELECT s.page_id, s.book, s.status, length(s.text) AS n_chars, coalesce(u.n_words, 0) AS n_words, coalesce(u.n_unknown::DOUBLE / u.n_words, 0) AS unknown_rate, mean_conf, {RATIO_SQL} AS ratio
+_QUALITY = f"""quality AS (SELECT s.page_id, s.book, s.text, s.status, length(s.text) AS n_chars, coalesce(u.n_words, 0) AS n_words, coalesce(u.n_unknown::DOUBLE / u.n_words, 0) AS unknown_rate, mean_conf, {RATIO_SQL} AS ratio
   FROM store s LEFT JOIN (SELECT page_id, count(*) AS n_words, sum((NOT known)::INT) AS n_unknown FROM words JOIN known USING (word) GROUP BY page_id) u USING (page_id)),
 scored AS (SELECT *, CASE WHEN n_words > 0 THEN greatest(0, 0.5::DOUBLE * (1 - least(1, unknown_rate)) + 0.25::DOUBLE * CASE WHEN mean_conf > 0 THEN mean_conf ELSE 0.75 END + 0.25::DOUBLE * ratio) ELSE 0 END AS score FROM quality)"""
-_QUALITY_CTES = (words_cte(), lexicon_cte(), known_cte(), STORE_SQL, _QUALITY)
+_QUALITY_CTES = (words_cte(), lexicon_cte(), recognized_cte(), STORE_SQL, _QUALITY)
 _GRADE = "CASE WHEN score >= 0.92 THEN 'excellent' WHEN score >= 0.82 THEN 'good' WHEN score >= 0.65 THEN 'needs review' ELSE 'poor' END"
 
 
-@query("page_quality", with_pages(f"SELECT page_id, status, n_words, round(unknown_rate, 6) AS unknown_rate, round(ratio, 6) AS ratio, round(score, 6) AS score, {_GRADE} AS grade, concat_ws('; ', CASE WHEN n_words > 0 AND unknown_rate > 0.4 THEN 'very high unknown-word rate' END, CASE WHEN ratio < 0.6 AND n_words > 5 THEN 'mostly non-Ethiopic text' END, CASE WHEN n_words > 0 AND n_chars / n_words > 24 THEN 'very long words' END, CASE WHEN mean_conf > 0 AND mean_conf < 0.6 THEN 'low recognizer confidence' END) AS flags FROM scored", *_QUALITY_CTES))
+@query("page_quality", with_pages(f"SELECT page_id, status, n_words, round(unknown_rate, 6) AS unknown_rate, round(ratio, 6) AS ratio, round(score, 6) AS score, {_GRADE} AS grade, concat_ws('; ', CASE WHEN n_words > 0 AND unknown_rate > 0.4 THEN 'very high unknown-word rate' END, CASE WHEN ratio < 0.6 AND n_words > 5 THEN 'mostly non-Ethiopic text' END, CASE WHEN n_words > 0 AND n_chars / n_words > 24 THEN 'very long words — word separators may be missing' END, CASE WHEN mean_conf > 0 AND mean_conf < 0.6 THEN 'low recognizer confidence' END, CASE WHEN n_chars > 0 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 'blank' END) AS flags FROM scored", *_QUALITY_CTES))
 def page_quality(spark, sf):
     q = quality.page_quality(store_pages(spark, sf), lexicon(spark, sf))
     return q.select("page_id", "status", "n_words", *(F.round(c, 6).alias(c) for c in ("unknown_rate", "ratio", "score")), "grade", "flags")
@@ -385,10 +460,18 @@ def book_quality(spark, sf):
     return b.select("book", "n_pages", "n_words", "n_chars", F.round("mean_score", 6).alias("mean_score"), F.round("unknown_rate", 6).alias("unknown_rate"), "verified")
 
 
-@query("page_filter_modes", with_pages("SELECT status, count(*) AS n FROM store WHERE status IN ('recognized', 'in_review') GROUP BY status", STORE_SQL))
+@query(
+    "page_filter_modes",
+    with_pages(
+        "SELECT m AS mode, status, count(*) AS n, min(page_id) AS first_page FROM store, (VALUES ('all'), ('new'), ('recognized'), ('verified'), ('worst')) t(m) WHERE m IN ('all', 'worst') OR m = 'new' AND status = 'new' OR m = 'verified' AND status = 'verified' OR m = 'recognized' AND status IN ('recognized', 'in_review') GROUP BY m, status",
+        STORE_SQL,
+    ),
+)
 def page_filter_modes(spark, sf):
+    """Every mode of the page list."""
     p = store_pages(spark, sf).withColumn("score", F.lit(0.0))
-    return store.filter_mode(p, "recognized").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    modes = [store.filter_mode(p, m).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page")).select(F.lit(m).alias("mode"), "status", "n", "first_page") for m in ("all", "new", "recognized", "verified", "worst")]
+    return reduce(DataFrame.unionByName, modes)
 
 
 _CHARS = r"chars AS (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(text, '[\s\x{0B}\x{85}\x{A0}\x{1c}-\x{1f}]', '', 'g'), '')) AS ch FROM pages) WHERE ch <> '' GROUP BY ch)"
@@ -404,9 +487,10 @@ def rare_characters(spark, sf):
     return quality.rare_characters(quality.histogram(pages(spark, sf)))
 
 
-@query("impossible_characters", with_pages(f"SELECT ch, n FROM chars WHERE regexp_matches(ch, '[{sql_class('other_ethiopic')}]')", _CHARS))
+@query("impossible_characters", with_pages(f"SELECT ch, n FROM chars WHERE regexp_matches(ch, '[{sql_class('other_ethiopic')}]')", MARKED_SQL, _CHARS.replace("FROM pages", "FROM marked")))
 def impossible_characters(spark, sf):
-    return quality.impossible_characters(quality.histogram(pages(spark, sf)))
+    """Over pages in which such characters are planted."""
+    return quality.impossible_characters(quality.histogram(marked_pages(spark, sf)))
 
 
 # ---- store -----------------------------------------------------------------------------------------------------------
@@ -419,7 +503,7 @@ def known_corrections(spark, sf):
     return store.known_corrections(edits(spark, sf), 1)
 
 
-@query("propagate_dry_run", "SELECT doc_id AS page_id, len(regexp_extract_all(' ' || regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g') || ' ', '[^\\p{L}\\p{N}_]the[^\\p{L}\\p{N}_]'))::INTEGER AS n FROM documents WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}_])the($|[^\\p{L}\\p{N}_])')")
+@query("propagate_dry_run", r"SELECT * FROM (SELECT doc_id AS page_id, len(regexp_extract_all(' ' || regexp_replace(text, '\s', '  ', 'g') || ' ', '[\s፡]the[\s፡-፨]'))::INTEGER AS n FROM documents) WHERE n > 0")
 def propagate_dry_run(spark, sf):
     return store.propagate(raw_pages(spark, sf), "the", "ye", dry=True)
 
@@ -432,9 +516,10 @@ def apply_ledger(spark, sf):
 _NEEDLE = "ሰላ"
 
 
-@query("occurrences", with_pages(f"SELECT page_id, (i - 1)::INTEGER AS \"offset\", text[greatest(i - 28, 1):i + 29] AS excerpt FROM (SELECT page_id, text, unnest(range(1, length(text) + 1)) AS i FROM pages WHERE contains({fold_sql('text')}, '{_NEEDLE}')) WHERE {fold_sql('text[i]')} = 'ሰ' AND {fold_sql('text[i + 1]')} = 'ላ'"))
+@query("occurrences", with_pages(f"SELECT page_id, (i - 1)::INTEGER AS \"offset\", text[greatest(i - 28, 1):i + 29] AS excerpt FROM (SELECT page_id, text, unnest(range(1, length(text) + 1)) AS i FROM marked WHERE contains({fold_sql('text')}, '{_NEEDLE}')) WHERE {fold_sql('text[i]')} = 'ሰ' AND {fold_sql('text[i + 1]')} = 'ላ'", MARKED_SQL))
 def occurrences(spark, sf):
-    return store.occurrences(pages(spark, sf), _NEEDLE, folded=True)
+    """Over pages in which the needle is planted."""
+    return store.occurrences(marked_pages(spark, sf), _NEEDLE, folded=True)
 
 
 @query("project_stats", f"WITH pages AS (SELECT doc_id AS page_id, source AS book, text FROM documents), {STORE_SQL}, {EDITS_SQL} SELECT count(*) AS n_pages, count(*) FILTER (status = 'verified') AS n_verified, count(*) FILTER (status = 'recognized') AS n_recognized, count(*) FILTER (status = 'in_review') AS n_in_review, count(*) FILTER (status = 'verified') / count(*)::DOUBLE AS verified_fraction, (SELECT count(*) FROM edits) AS n_edits FROM store")
@@ -475,7 +560,16 @@ def _joined(spark, sf) -> DataFrame:
     return geometry.lines(boxes(spark, sf)).select("page_id", "line_idx", F.lit(0).alias("word_idx"), F.regexp_replace("text", " ", "፡").alias("text"), "x", "y", "w", "h", "conf")
 
 
-@query("split_boxes")
+_JOINED_SQL = "joined AS (SELECT page_id, line_idx, string_agg(text, '፡' ORDER BY word_idx) AS t, min(x) AS x, (max(x + w) - min(x))::INTEGER AS w FROM boxes GROUP BY page_id, line_idx), cut AS (SELECT *, unnest(string_split(t, '፡')) AS piece, generate_subscripts(string_split(t, '፡'), 1) AS i FROM joined), placed_at AS (SELECT *, coalesce(sum(length(piece) + 1) OVER (PARTITION BY page_id, line_idx ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(t) AS n FROM cut)"
+
+
+@query(
+    "split_boxes",
+    with_pages(
+        "SELECT page_id, line_idx, (CASE WHEN contains(t, '፡') AND n >= 3 THEN row_number() OVER (PARTITION BY page_id, line_idx ORDER BY i) - 1 ELSE 0 END)::INTEGER AS word_idx, piece AS text, (x + round_even(w * a / n::DOUBLE, 0))::INTEGER AS x, (CASE WHEN contains(t, '፡') AND n >= 3 THEN greatest(1, round_even(w * length(piece) / n::DOUBLE, 0)) ELSE w END)::INTEGER AS w FROM placed_at WHERE piece <> ''",
+        tokens_cte(), BOXES_SQL, _JOINED_SQL,
+    ),
+)
 def split_boxes(spark, sf):
     return geometry.split_boxes(_joined(spark, sf)).select("page_id", "line_idx", "word_idx", "text", "x", "w")
 
@@ -492,12 +586,28 @@ def issue_box_overlap(spark, sf):
     return geometry.overlapping(issues.repeated_words(word_table(pages(spark, sf))), boxes(spark, sf)).select("page_id", "start", "end", "box_start", "x", "y")
 
 
-@query("vote_words")
-def vote_words(spark, sf):
+def _readings(spark, sf) -> DataFrame:
     w = word_table(pages(spark, sf)).select("page_id", F.col("word_no").cast("int").alias("word_idx"), F.col("word").alias("text"), F.lit(0.8).alias("conf"))
     second = w.withColumn("text", _second_reader(F.col("text"), F.col("word_idx")))
-    both = w.withColumn("engine_rank", F.lit(0)).unionByName(second.withColumn("engine_rank", F.lit(1)))
-    return geometry.voted(both, lexicon(spark, sf))
+    return w.withColumn("engine_rank", F.lit(0)).unionByName(second.withColumn("engine_rank", F.lit(1)))
+
+
+@query("vote_words")
+def vote_words(spark, sf):
+    return voting.voted(_readings(spark, sf), lexicon(spark, sf))
+
+
+_SECOND = "CASE WHEN word_no % 11 = 5 AND length(word) > 2 THEN word[:length(word) - 1] ELSE word END"
+
+
+@query("vote_agreement", with_pages(f"SELECT page_id, count(*) AS n_words, round(avg(({_SECOND} = word)::INT), 9) AS rate FROM words GROUP BY page_id", words_cte()))
+def vote_agreement(spark, sf):
+    return voting.agreement(voting.aligned(_readings(spark, sf))).select("page_id", "n_words", F.round("rate", 9).alias("rate"))
+
+
+@query("vote_disagreements", with_pages(f"SELECT page_id, word_no::INTEGER AS word_idx, list_sort([word, {_SECOND}]) AS readings FROM words WHERE {_SECOND} <> word", words_cte()))
+def vote_disagreements(spark, sf):
+    return voting.disagreements(voting.aligned(_readings(spark, sf)))
 
 
 @query("word_diff")
@@ -510,14 +620,17 @@ def word_diff(spark, sf):
 # ---- sources and documents -------------------------------------------------------------------------------------------
 
 
-@query("import_text_pages")
+@query("import_text_pages", "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1)::INTEGER AS idx, 'p. ' || row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS label, regexp_replace(text, '^\\n+|\\n+$', '', 'g') AS text, 'recognized' AS status FROM conversations WHERE regexp_matches(text, '\\S')")
 def import_text_pages(spark, sf):
     """The turns of a conversation are one text with page breaks between, imported again as pages."""
     c = load(spark, sf, "conversations").select("conv_id", "turn", "text")
     return source.import_pages(store.full_text(c, "conv_id", "turn", between="\n--- page 2 ---\n").withColumnRenamed("full_text", "text"), "conv_id")
 
 
-@query("strip_markup")
+_NOISE = text_of(source.WIKI_NOISE)
+
+
+@query("strip_markup", f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, {_NOISE}, ' ', 'g'), {_NOISE}, ' ', 'g'), {_NOISE}, ' ', 'g') AS text FROM pages")
 def strip_markup(spark, sf):
     return load(spark, sf, "pages").select("page_id", source.strip_wiki(F.col("html")).alias("text"))
 
@@ -537,42 +650,82 @@ def strip_boilerplate(spark, sf):
     return source.strip_boilerplate(p, source.boilerplate(p, share=0.02)).select("page_id", "text")
 
 
-@query("probe_text_layer", with_pages(f"SELECT book, count(*) AS pages, round(avg(length(text)), 6) AS chars_per_page, round(avg({RATIO_SQL}), 6) AS ratio, avg(length(text)) >= 120 AND avg({RATIO_SQL}) >= 0.3 AS usable FROM pages GROUP BY book"))
+def _numbered(spark, sf) -> DataFrame:
+    """book, idx, page_id, text: pages numbered within their book."""
+    p = pages(spark, sf)
+    order = p.select("page_id", "book", (F.row_number().over(Window.partitionBy("book").orderBy("page_id")) - 1).alias("idx"))
+    return p.join(order.select("page_id", "idx"), "page_id")
+
+
+@query("sampled_pages", "SELECT DISTINCT n.book, n.idx::INTEGER AS idx, page_id FROM (SELECT source AS book, doc_id AS page_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM documents) n, range(8) t(i) WHERE n.n <= 8 OR n.idx = floor(t.i * n.n / 8)")
+def sampled_pages(spark, sf):
+    return source.sampled(_numbered(spark, sf)).select("book", "idx", "page_id")
+
+
+@query("probe_text_layer")
 def probe_text_layer(spark, sf):
-    p = source.probe(pages(spark, sf), script.ethiopic_ratio(F.col("text")))
-    return p.select("book", "pages", F.round("chars_per_page", 6).alias("chars_per_page"), F.round("ratio", 6).alias("ratio"), "usable")
+    p = source.probe(_numbered(spark, sf))
+    return p.select("book", "pages", "sampled", F.size("boilerplate").alias("n_boilerplate"), F.round("chars_per_page", 6).alias("chars_per_page"), F.round("ratio", 6).alias("ratio"), "usable", "reason")
+
+
+_PARAGRAPH = "list_reduce(list_prepend('', list_filter(list_transform(string_split(part, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')), lambda a, x: CASE WHEN a = '' THEN x WHEN a[-1] = '፡' THEN a || x ELSE a || ' ' || x END)"
+
+
+def _blocks_sql(marks: bool) -> str:
+    """CTE blocks(book, page_id, block_no, kind, text); with marks a page whose number 7 divides begins with a chapter of 30 characters."""
+    rest = "CASE WHEN page_id % 7 = 0 THEN text[31:] ELSE text END" if marks else "text"
+    chapter = "SELECT book, page_id, 0 AS i, 'chapter' AS kind, regexp_replace(text[:30], '^\\s+|\\s+$', '', 'g') AS text FROM pages WHERE page_id % 7 = 0 UNION ALL " if marks else ""
+    split = f"string_split({rest}, chr(10) || chr(10))"
+    return f"blocks AS (SELECT book, page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS block_no, kind, text FROM ({chapter}SELECT book, page_id, i, 'paragraph', {_PARAGRAPH} FROM (SELECT book, page_id, unnest({split}) AS part, generate_subscripts({split}, 1) AS i FROM pages)) t(book, page_id, i, kind, text) WHERE trim(text) <> '')"
 
 
-@query("build_blocks")
+@query("build_blocks", with_pages("SELECT page_id, block_no, kind, text FROM blocks", _blocks_sql(True)))
 def build_blocks(spark, sf):
     p = pages(spark, sf)
     return document.blocks(p, _first_words(p).where("kind = 'chapter'"))
 
 
-@query("chapters")
+@query("chapters", with_pages("SELECT book, chapter_no, count(*) AS n_blocks, sum(length(text))::BIGINT AS n_chars FROM (SELECT *, sum((kind = 'chapter')::INT) OVER (PARTITION BY book ORDER BY page_id, block_no) AS chapter_no FROM blocks) GROUP BY book, chapter_no", _blocks_sql(True)))
 def chapters(spark, sf):
     p = pages(spark, sf)
     b = document.blocks(p, _first_words(p).where("kind = 'chapter'")).join(p.select("page_id", "book"), "page_id")
     return document.chapters(b).groupBy("book", "chapter_no").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query("markdown")
+@query("markdown", with_pages("SELECT page_id, string_agg(CASE WHEN kind = 'chapter' THEN '## ' ELSE '' END || text, chr(10) || chr(10) ORDER BY block_no) || chr(10) AS markdown FROM blocks GROUP BY page_id", _blocks_sql(True)))
 def markdown(spark, sf):
     p = pages(spark, sf)
     return document.markdown(document.blocks(p, _first_words(p).where("kind = 'chapter'")), "page_id", ("block_no",))
 
 
-@query("plain_text")
+@query("plain_text", with_pages("SELECT page_id, string_agg(CASE WHEN block_no = 0 THEN '--- p. ' || page_id || ' ---' || chr(10) || chr(10) ELSE '' END || text, chr(10) || chr(10) ORDER BY block_no) || chr(10) AS body FROM blocks GROUP BY page_id", _blocks_sql(False)))
 def plain_text(spark, sf):
-    return document.plain_text(document.blocks(pages(spark, sf)), "page_id", ("block_no",), page_marker=True)
+    return document.plain_text(document.blocks(pages(spark, sf)), "page_id", ("block_no",), page_marker=F.concat(F.lit("p. "), F.col("page_id").cast("string")))
 
 
-@query("alto_pages")
+_ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(
+    "alto_pages",
+    with_pages(
+        "SELECT page_id, '<alto xmlns=\"http://www.loc.gov/standards/alto/ns-v4#\"><Layout><Page><PrintSpace><TextBlock>' || string_agg(l, '' ORDER BY line_idx) || '</TextBlock></PrintSpace></Page></Layout></alto>' AS alto FROM (SELECT page_id, line_idx, printf('<TextLine HPOS=\"%d\" VPOS=\"%d\" WIDTH=\"%d\" HEIGHT=\"%d\">', min(x), min(y), max(x + w) - min(x), max(y + h) - min(y))"
+        f" || string_agg(printf('<String HPOS=\"%d\" VPOS=\"%d\" WIDTH=\"%d\" HEIGHT=\"%d\" WC=\"%.3f\"', x, y, w, h, conf) || ' CONTENT=\"' || replace({_ESCAPED}, '\"', '&quot;') || '\"/>', '<SP/>' ORDER BY word_idx) || '</TextLine>' AS l FROM boxes GROUP BY page_id, line_idx) GROUP BY page_id",
+        tokens_cte(), BOXES_SQL,
+    ),
+)
 def alto_pages(spark, sf):
     return document.alto(boxes(spark, sf))
 
 
-@query("hocr_pages")
+@query(
+    "hocr_pages",
+    with_pages(
+        "SELECT page_id, replace('<div class=~ocr_page~>' || string_agg('<span class=~ocr_line~>' || l || '</span>', chr(10) ORDER BY line_idx) || '</div>', '~', chr(39)) AS hocr FROM (SELECT page_id, line_idx, string_agg('<span class=~ocrx_word~ title=~' || printf('bbox %d %d %d %d; x_wconf %d', x, y, x + w, y + h, trunc(conf * 100)::INTEGER)"
+        f" || '~>' || {_ESCAPED} || '</span>', ' ' ORDER BY word_idx) AS l FROM boxes GROUP BY page_id, line_idx) GROUP BY page_id",
+        tokens_cte(), BOXES_SQL,
+    ),
+)
 def hocr_pages(spark, sf):
     return document.hocr(boxes(spark, sf))
 

@@ -1,4 +1,5 @@
 import unicodedata
+from functools import lru_cache
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -136,16 +137,72 @@ def test_neighbors_are_sorted_and_bounded():
 KNOWN = {"ኢትዮጵያ", "ቤት", "ሰው", "መንግሥት", "ተማሪ", "አገር", "መጽሐፍ", "ልጅ", "ከተማ", "ታሪክ"}
 
 
-@pytest.mark.parametrize(
-    "surface, stem",
-    [(p + "ኢትዮጵያ", "ኢትዮጵያ") for p in ("የ", "በ", "ለ", "ከ", "ወደ", "እንደ", "ስለ")]
-    + [("ቤቱ", "ቤት"), ("ቤቴ", "ቤት"), ("ቤታ", "ቤት"), ("መጽሐፉ", "መጽሐፍ"), ("መንግሥታት", "መንግሥት"), ("የኢትዮጵያን", "ኢትዮጵያ"), ("በቤታችን", "ቤት"), ("ከከተማው", "ከተማ"), ("ለልጆች", "ልጅ")],
-)
-def test_stems(surface, stem):
-    assert next(s for s, _, _ in morph.readings(surface) if s in KNOWN) == stem
+CASES = [(p + "ኢትዮጵያ", "ኢትዮጵያ") for p in ("የ", "በ", "ለ", "ከ", "ወደ", "እንደ", "ስለ")] + [
+    ("ቤቱ", "ቤት"), ("ቤቴ", "ቤት"), ("ቤታ", "ቤት"), ("መጽሐፉ", "መጽሐፍ"), ("መንግሥታት", "መንግሥት"), ("የኢትዮጵያን", "ኢትዮጵያ"), ("በቤታችን", "ቤት"), ("ከከተማው", "ከተማ"), ("ለልጆች", "ልጅ"),
+]
+NO_WORDS = "ዘየጠቀ ቅቅቅቅ ዠዠዠ ኺኺን ጨጨጨው ኰኰኰ ፐፐፐን ጏጏጏ".split()
+
+
+def test_stems(spark):
+    for (_, stem), readings in zip(CASES, table(spark, morph.stems(T), [c for c, _ in CASES])):
+        assert next(r.stem for r in readings if r.stem in KNOWN) == stem
+    (readings,) = table(spark, morph.stems(T), ["እንደኢትዮጵያ"])
+    assert next(r.prefixes for r in readings if r.stem in KNOWN) == ["እንደ"]
+
+
+def test_no_stem(spark):
+    for readings in table(spark, morph.stems(T), NO_WORDS):
+        assert len(readings) < 500 and not any(r.stem in KNOWN for r in readings)
+
+
+def test_stem_sets_are_the_stems_of_all_readings(spark):
+    words = [c for c, _ in CASES] + NO_WORDS + ["ቤት", "የ", "x", "ለልጆቻቸውና", ""]
+    for word, readings in zip(words, table(spark, morph.stems(T), words)):
+        assert sorted({r.stem for r in readings}) == (morph.stem_set(word) if word else [])
+        assert len({(r.stem, tuple(r.prefixes), tuple(r.suffixes)) for r in readings}) == len(readings)
+        assert [len(r.prefixes) + len(r.suffixes) for r in readings] == sorted(len(r.prefixes) + len(r.suffixes) for r in readings)
+    assert one(spark, morph.described(morph.stems(T)[1]), t="የቤት") == "የ-ቤት"
+
+
+def plain_distance(c, a, b):
+    """Least cost of turning one word into the other, from the definition, with memory."""
+    cost = lambda x: distance.CHEAP.get(x, distance.INDEL)
+
+    @lru_cache(None)
+    def least(i, j):
+        if not i or not j:
+            return sum(map(cost, a[:i])) + sum(map(cost, b[:j]))
+        return min(least(i - 1, j) + cost(a[i - 1]), least(i, j - 1) + cost(b[j - 1]), least(i - 1, j - 1) + c.sub(a[i - 1], b[j - 1]))
+
+    return least(len(a), len(b))
+
+
+@given(st.lists(st.tuples(*[st.text(alphabet="ሰሸላሃሀለም፡abAé,", max_size=7)] * 2), max_size=12))
+def test_batches_of_distances_by_definition(pairs):
+    c = distance.Costs({("ሰ", "ሸ"): 3, ("é", "a"): 2})
+    for (a, b), got in zip(pairs, c.distances(pairs)):
+        assert got == pytest.approx(plain_distance(c, a, b))
+    for (a, b), ops, got in zip(pairs, c.alignments(pairs), c.distances(pairs)):
+        price = {"match": lambda x, y: 0, "sub": c.sub, "del": lambda x, y: distance.CHEAP.get(x, distance.INDEL), "ins": lambda x, y: distance.CHEAP.get(y, distance.INDEL)}
+        assert "".join(o for _, o, _ in ops) == a and "".join(i for _, _, i in ops) == b
+        assert sum(price[o](x, y) for o, x, y in ops) == pytest.approx(got)
+
+
+def test_costs_are_kept_as_json():
+    c = distance.Costs({("ሰ", "ሸ"): 3, ("a", "b"): 1}, 0.5)
+    back = distance.Costs.from_json(c.to_json())
+    assert back.seen == c.seen and back.weight == 0.5 and back.sub("ሰ", "ሸ") == c.sub("ሰ", "ሸ") and distance.Costs.from_json("").seen == {}
+    assert distance.Costs().sub("a", "A") == 0.3 and distance.Costs().sub("፡", ":") == distance.Costs().sub(":", "፡") == 0.05
+
+
+@pytest.mark.parametrize("keys", ["selam", "lehulum", "ityoPya", "tsehay", "selam::", "selam:lehulum", "ale::-"])
+def test_typing_key_by_key_is_the_batch(keys):
+    assert translit.typed_text(keys) == translit.transliterate_text(keys)
 
 
-@pytest.mark.parametrize("word", "ዘየጠቀ ቅቅቅቅ ዠዠዠ ኺኺን ጨጨጨው ኰኰኰ ፐፐፐን ጏጏጏ".split())
-def test_no_stem(word):
-    readings = morph.readings(word)
-    assert len(readings) < 500 and not any(s in KNOWN for s, _, _ in readings)
+def test_typing_rewrites_what_stands():
+    t = translit.Typing()
+    assert [t.feed(k) for k in "sha"] == [(0, "ስ", True), (1, "ሽ", True), (1, "ሻ", True)]
+    t.reset()
+    assert t.feed("a") == (0, "አ", True) and t.feed("1") == (0, "", False) and t.feed("lw") == (0, "", False)
+    assert translit.typed_text("law") == "ሏ" and translit.typed_text("a b") == "አ ብ"

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from fidelmill.operators import document, geometry, issues, lexicon, quality, store
+from fidelmill.operators import document, geometry, issues, lexicon, quality, session, store, voting
 from fidelmill.operators.tokens import token_table, word_table, words_only
 from fidelmill.sources import text as source
 from fidelmill.streaming import corrections
@@ -105,11 +105,12 @@ def test_ledger(spark):
 
 
 def test_propagation(spark):
-    p = pages_of(spark, "cat cats cat.", "concat", "dog")
-    assert [(r.page_id, r.n, r.text) for r in store.propagate(p, "cat", "$1\\").collect()] == [(0, 2, "$1\\ cats $1\\.")]
-    assert {r.page_id: r.n for r in store.propagate(p, "cat", "x", whole_word=False, dry=True).collect()} == {0: 3, 1: 1}
+    """A word stands between spaces and word separators; a mark of the script may follow, any other may not."""
+    p = pages_of(spark, "cat cats cat። cat.", "concat", "dog", "፡cat፡\u2003cat\x1c(cat)")
+    assert {r.page_id: (r.n, r.text) for r in store.propagate(p, "cat", "$1\\").collect()} == {0: (2, "$1\\ cats $1\\። cat."), 3: (2, "፡$1\\፡\u2003$1\\\x1c(cat)")}
+    assert {r.page_id: r.n for r in store.propagate(p, "cat", "x", whole_word=False, dry=True).collect()} == {0: 4, 1: 1, 3: 3}
     c = frame(spark, [("cat", "dog", 5), ("dog", "cow", 2)], "before string, after string, n long")
-    assert {r.page_id: r.text for r in store.apply_ledger(p, c).collect()} == {0: "cow cats cow.", 2: "cow"}
+    assert {r.page_id: r.text for r in store.apply_ledger(p, c).collect()} == {0: "cow cats cow። cat.", 2: "cow", 3: "፡cow፡\u2003cow\x1c(cat)"}
 
 
 def test_the_whole_ledger_is_replayed(spark):
@@ -117,12 +118,12 @@ def test_the_whole_ledger_is_replayed(spark):
     r = random.Random(3)
     rows = [(f"w{i}", f"w{i + 1}" if i % 7 == 0 else f"v{i} w{r.randrange(700)}", 900 - i) for i in range(690)]
     rows += [("-a-", "w", 990), ("ww", "w5 b", 60), ("b.", "b", 50), ("w1 w2", "two", 2000), ("...", "…", 40), ("é_1", "w600", 1000), ("v3", "", 10), ("$", "$1", 9), ("w690", "last", 1), (" ", "  ", 3)]
-    texts = [" ".join(f"w{r.randrange(700)}" + r.choice(["", ".", "...", "x"]) for _ in range(40)) for _ in range(50)] + ["-a--a- w1 w2 é_1", "w690", "a $ b. , ", "", "none"]
+    texts = [" ".join(f"w{r.randrange(700)}" + r.choice(["", ".", "...", "x", "።", "፣፤"]) for _ in range(40)) for _ in range(50)] + ["-a--a- w1 w2 é_1", "w690", "a $ b. , ", "", "none"]
     want = {}
     for i, text in enumerate(texts):
         new = text
         for before, after, _ in sorted(rows, key=lambda x: (-x[2], x[0])):
-            new = re.sub(rf"(?<!\w){re.escape(before)}(?!\w)", lambda _, a=after: a, new)
+            new = re.sub(rf"(?<![^\s\u1361]){re.escape(before)}(?![^\s\u1361-\u1368])", lambda _, a=after: a, new)
         if new != text:
             want[i] = new
     c = frame(spark, rows, "before string, after string, n long")
@@ -172,7 +173,7 @@ def test_characters_to_words(spark):
 
 def test_vote(spark, lex):
     r = frame(spark, [(1, 0, 0, "ሰላም", 0.9), (1, 0, 1, "ለሁላም", 0.9), (1, 1, 0, "ሰላም", 0.9), (1, 1, 1, "ለሁሉም", 0.9)], "page_id long, engine_rank int, word_idx int, text string, conf double")
-    got = geometry.voted(r, lex).orderBy("word_idx").collect()
+    got = voting.voted(r, lex).orderBy("word_idx").collect()
     assert [(x.text, x.n_readings) for x in got] == [("ሰላም", 1), ("ለሁሉም", 2)] and got[0].conf == 0.9 and 0.3 <= got[1].conf <= 1
 
 
@@ -200,8 +201,13 @@ def test_boilerplate(spark):
     lines = source.boilerplate(p)
     assert [(r.book, r.line, r.n) for r in lines.collect()] == [("b", "stamp", 8)]
     assert {r.page_id: r.text for r in source.strip_boilerplate(p, lines).collect()}[0] == "line 0"
-    probe = source.probe(p, F.lit(0.9)).where("book = 'b'").first()
-    assert not probe.usable
+    page = "ሰላም ለሁሉም ሰው ይሁን። " * 10
+    rows = [(i, "stamped", f"t.me/x\n{i} {page}") for i in range(10)] + [(i, "stamp", "Scanned\nt.me/x") for i in range(9)] + [(i, "latin", f"{i} some words of a page " * 9) for i in range(4)] + [(0, "same", page), (1, "same", page), (2, "same", page)]
+    got = {r.book: r for r in source.probe(frame(spark, [(b, i, t) for i, b, t in rows], "book string, idx int, text string")).collect()}
+    assert {b: (r.usable, r.reason, list(r.boilerplate)) for b, r in got.items()} == {
+        "stamped": (True, "usable", ["t.me/x"]), "stamp": (False, "stamp", ["Scanned", "t.me/x"]), "latin": (False, "other script", []), "same": (True, "usable", [page.strip()])
+    }
+    assert got["stamped"].sampled == 8 and got["stamped"].pages == 10
 
 
 def test_recognizer_table(spark):
@@ -243,3 +249,91 @@ def test_empty_pages(spark, lex):
     none = pages_of(spark, "x").where("false")
     for d in (token_table(none), word_table(none), words_only(none), lexicon.bigrams(none), issues.detected(none, lex), quality.histogram(none), document.blocks(none), document.wrap_lines(none)):
         assert d.count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, width, lines",
+    [
+        ("one two three", 7, ["one two", "three"]),
+        ("ሰላም፡ለሁሉም፡ነው።", 9, ["ሰላም፡ለሁሉም፡", "ነው።"]),
+        ("a/b-c,d", 3, ["a/", "b-", "c,d"]),
+        ("word.) next", 6, ["word.)", "next"]),
+        ("abcdefghij kl", 4, ["abcd", "efgh", "ij", "kl"]),
+        ("x  y", 2, ["x", "y"]),
+    ],
+)
+def test_lines_break_after_marks(text, width, lines):
+    assert document.wrapped(text, width) == lines
+
+
+def test_explanations(spark):
+    rows = frame(spark, [("order", "ሰላም", "ሱላም"), ("order", "ሰላ", "መላ"), ("family", "a", "b"), ("indel", "a", "b"), ("engine", "a", "b")], "s string, a string, b string")
+    got = [r[0] for r in rows.select(issues.explained(F.col("s"), F.col("a"), F.col("b"))).collect()]
+    assert got == ["Vowel order: ሰ→ሱ", "Same consonant skeleton", "Visually similar consonant", "A character was added or lost", "engine"]
+
+
+def test_readers_are_aligned():
+    own = "one two three four five six seven".split()
+    assert voting.read_at(own, own) == own
+    assert voting.read_at(own, "one two thrxx four five six seven".split())[2] == "thrxx"
+    assert voting.read_at(own, "one two five six seven".split())[2:4] == ["", ""]
+    assert voting.read_at(own, "zero one two three four five six seven".split()) == own
+    r = random.Random(2)
+    for _ in range(100):  # a shuffled text with a few words read otherwise
+        own = [f"w{r.randrange(60)}" for _ in range(r.randint(1, 300))]
+        other = [w + "x" if r.random() < 0.1 else w for w in own]
+        assert voting.read_at(own, other) == other
+
+
+def test_runs_that_failed_have_no_vote(spark):
+    runs = [(1, 0, "a", "amh", 0, "no model"), (1, 1, "b", "", 5, None), (1, 2, "c", "tir", 4, ""), (2, 0, "a", "amh", 0, "no model"), (2, 1, "b", "", 0, None)]
+    got = {r.page_id: (r.engine, r.ok, r.error) for r in voting.outcome(frame(spark, runs, "page_id long, engine_rank int, engine string, language string, n_words int, error string")).collect()}
+    assert got == {1: ("b+c/tir", True, ""), 2: ("", False, "no model")}
+
+
+def test_sessions(spark, lex, tmp_path):
+    meta = session.with_defaults(frame(spark, [("author", "A")], "key string, value string"), "Book")
+    assert {r.key: r.value for r in meta.collect()} == {"author": "A", "title": "Book", "language": "am", "policy": "faithful", "schema_version": "1"}
+    assert meta.agg(session.meta_value(meta, "title"), session.meta_value(meta, "none", "x")).first()[:] == ("Book", "x")
+    pages = frame(spark, [(i, i, f"p. {i}", s) for i, s in enumerate(["new", "verified", "skipped", "recognized"])], "page_id long, idx int, label string, status string")
+    assert [r.page_id for r in session.scope(pages, "unrecognized").collect()] == [0]
+    assert {r.page_id: r.idx for r in session.reordered(pages, 0, 2).collect()} == {0: 2, 1: 0, 2: 1, 3: 3} and session.reordered(pages, 99, 1).count() == 4
+    words = frame(spark, [(0, 0, 2, "ab"), (1, 0, 2, "ab")], "page_id long, start int, end int, text string")
+    texts, boxes_ = session.stored_results(words, frame(spark, [(0, "ሰላም  ነው"), (1, "ab")], "page_id long, text string"))
+    assert {r.page_id: r.text for r in texts.collect()} == {0: "ሰላም ነው", 1: "ab"} and {r.page_id: (r.start, r.end) for r in boxes_.collect()} == {0: (-1, -1), 1: (0, 2)}
+    new = frame(spark, [(1, 1.0, "ሰሉም", "ሰላም አዲስ", "editor"), (1, 2.0, "x", "x", "editor")], "page_id long, ts double, before string, after string, source string")
+    old = frame(spark, [], "page_id long, ts double, before string, after string, kind string, source string")
+    ledger, lexicon_, learned = session.accepted(new, old, lex, frame(spark, [("ሉ", "ላ", 2)], "observed string, intended string, n long"))
+    assert [r.kind for r in ledger.collect()] == ["accepted"] and lexicon_.where("surface = 'አዲስ'").count() == 1 and {(r.observed, r.intended): r.n for r in learned.collect()}[("ሉ", "ላ")] == 3
+    costs = lexicon.costs_of(learned)
+    session.save_model(spark, costs, f"file://{tmp_path}/model")
+    assert session.load_model(spark, f"file://{tmp_path}/model").seen == costs.seen and session.load_model(spark, f"file://{tmp_path}/none").seen == {}
+    assert [r.observed for r in lexicon.top_confusions(learned, 1).collect()] == ["ሉ"]
+
+
+def test_exports_of_a_book(spark):
+    p = frame(spark, [(0, 1, "new"), (1, 0, "skipped")], "page_id long, idx int, status string")
+    text = document.hocr_book(p, boxes(spark, (0, 0, "x"), (1, 0, "gone")), "A & B").first().hocr
+    assert "A &amp; B" in text and ">x<" in text and "gone" not in text
+    body = spark.createDataFrame([("one\n",)], "b string")
+    assert [body.select(document.titled(F.col("b"), F.lit(t), F.lit(a))).first()[0] for t, a in (("T", "A"), ("T", ""), ("", "A"))] == ["T\n\nA\n\n\n\none\n", "T\n\n\n\none\n", "one\n"]
+
+
+def test_mixed_drops_and_xz(spark, tmp_path):
+    import lzma
+
+    files = frame(spark, [("b.txt", 0), ("p10.png", 1), ("x.exe", 2), ("p2.PNG", 3), ("d.pdf", 4), ("a.md", 5)], "name string, pos int")
+    assert [r.name for r in source.dispatched(files).orderBy("seq").collect()] == ["p2.PNG", "p10.png", "d.pdf", "b.txt", "a.md"]
+    with lzma.open(tmp_path / "t.xz", "wt", encoding="utf-8") as f:
+        f.write("ሰላም\nnext\n")
+    assert [r.text for r in source.READERS["lines"](spark, str(tmp_path / "t.xz")).collect()] == ["ሰላም", "next"]
+    names = frame(spark, [("am/clean_docs.2.jsonl.gz",), ("am/noisy_docs.1.jsonl.gz",), ("am/clean_docs.1.jsonl.gz",)], "name string")
+    assert [r.name for r in source.shards(names).collect()] == ["am/clean_docs.1.jsonl.gz", "am/clean_docs.2.jsonl.gz"]
+    lines = frame(spark, [(1, "a\nb\nc\nd\ne"), (2, "a\n\fb")], "k long, text string")
+    assert [(r.k, r.text) for r in source.import_pages(lines, "k", 2).orderBy("k", "idx").collect()] == [(1, "a\nb"), (1, "c\nd"), (1, "e"), (2, "a"), (2, "b")]
+
+
+def test_issues_weigh_on_quality(spark, lex):
+    p = pages_of(spark, "ሰላም ነው ሰላም", "ሰላም ነው ሰላam").withColumn("status", F.lit("new")).withColumn("mean_conf", F.lit(0.9))
+    plain, weighed = ({r.page_id: r for r in quality.page_quality(p, lex, i).collect()} for i in (None, issues.detected(p, lex)))
+    assert weighed[0].score == plain[0].score and weighed[1].high >= 1 and weighed[1].score == pytest.approx(plain[1].score - 0.02 * weighed[1].high)
