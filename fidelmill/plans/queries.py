@@ -560,7 +560,7 @@ def _joined(spark, sf) -> DataFrame:
     return geometry.lines(boxes(spark, sf)).select("page_id", "line_idx", F.lit(0).alias("word_idx"), F.regexp_replace("text", " ", "፡").alias("text"), "x", "y", "w", "h", "conf")
 
 
-_JOINED_SQL = "joined AS (SELECT page_id, line_idx, string_agg(text, '፡' ORDER BY word_idx) AS t, min(x) AS x, (max(x + w) - min(x))::INTEGER AS w FROM boxes GROUP BY page_id, line_idx), cut AS (SELECT *, unnest(string_split(t, '፡')) AS piece, generate_subscripts(string_split(t, '፡'), 1) AS i FROM joined), placed_at AS (SELECT *, coalesce(sum(length(piece) + 1) OVER (PARTITION BY page_id, line_idx ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(t) AS n FROM cut)"
+_JOINED_SQL = "joined AS (SELECT page_id, line_idx, string_agg(text, '፡' ORDER BY word_idx) AS t, min(x) AS x, (max(x + w) - min(x))::INTEGER AS w FROM boxes GROUP BY page_id, line_idx), line_cut AS (SELECT *, unnest(string_split(t, '፡')) AS piece, generate_subscripts(string_split(t, '፡'), 1) AS i FROM joined), placed_at AS (SELECT *, coalesce(sum(length(piece) + 1) OVER (PARTITION BY page_id, line_idx ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(t) AS n FROM line_cut)"
 
 
 @query(

@@ -162,8 +162,7 @@ def strip_boilerplate(pages: DataFrame, lines: DataFrame, book: str = "book") ->
 
 def imported_ratio(text: Column) -> Column:
     """Share of the letters that are of the script's main block or its extension: narrower than the ratio of a page's quality."""
-    letters = F.regexp_count(text, F.lit(f"[{script.classes()['letter']}]"))
-    own = F.regexp_count(text, F.lit(f"[{script.main_letters()}]"))
+    letters, own = script.letter_counts(text, script.main_letters())
     return F.when(letters > 0, own / letters).otherwise(F.lit(0.0))
 
 
