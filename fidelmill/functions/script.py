@@ -206,6 +206,12 @@ def word_pattern() -> str:
     return f"[^{c['space']}{c['punct']}{c['number']}]+"
 
 
+@lru_cache
+def letter_runs() -> str:
+    """Runs of letters, for the JVM: usual letters first, and ASCII's other characters ruled out before the long class is tried."""
+    return f"(?:[A-Za-z\\x{{1200}}-\\x{{1248}}]++|(?![\\x{{0}}-@\\[-`{{-\\x{{7F}}])[{classes()['letter']}])++"
+
+
 @lru_cache
 def fast_word_pattern() -> str:
     """``word_pattern`` for the JVM, which tries a class range by range: runs of the usual letters first, without going back."""

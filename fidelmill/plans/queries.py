@@ -179,7 +179,7 @@ _RUNS = f"[{sql_class('letter')}]+"
 
 @query("word_frequency", f"SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(nfc_normalize(text), {text_of(_RUNS)})) AS word FROM documents) WHERE length(word) BETWEEN 2 AND 24 GROUP BY word")
 def word_frequency(spark, sf):
-    runs = raw_pages(spark, sf).select(F.explode(F.regexp_extract_all(normalize.nfc("text"), F.lit(_RUNS), F.lit(0))).alias("word"))
+    runs = raw_pages(spark, sf).select(F.explode(F.regexp_extract_all(normalize.nfc("text"), F.lit(script.letter_runs()), F.lit(0))).alias("word"))
     return lex.count_words(runs.where(F.length("word").between(2, 24)))
 
 
