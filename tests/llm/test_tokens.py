@@ -84,11 +84,11 @@ def test_rows_of_one_id_are_split_over_shards(spark):
     want = plain(BYTE)
     rows = [(7, f"text number {i}") for i in range(50)] + [(None, f"none {i}") for i in range(20)] + [(9, "same")] * 10
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    folder, manifest = bitpack.write_ids(d, path=BYTE, end_id=0, shard_bytes=200)
+    folder, manifest = bitpack.write_ids(d, path=BYTE, end_id=0, shard_bytes=100)
     got = bitpack.read_ids(spark, folder, manifest).orderBy("start").collect()
     assert len(manifest) > 4 and [r.doc_id for r in got] == [None] * 20 + [7] * 50 + [9] * 10
     assert sorted((r.doc_id or 0, r.ids_crc32) for r in got) == sorted((i or 0, crc(want(t) + [0])) for i, t in rows)
-    again = bitpack.read_ids(spark, *bitpack.write_ids(d.repartition(2), path=BYTE, end_id=0, shard_bytes=200)).orderBy("start").collect()
+    again = bitpack.read_ids(spark, *bitpack.write_ids(d.repartition(2), path=BYTE, end_id=0, shard_bytes=100)).orderBy("start").collect()
     assert again == got
 
 
