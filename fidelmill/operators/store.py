@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import pandas as pd
@@ -112,48 +112,98 @@ def _first(before: str) -> str:
 def replay(corrections: list[tuple[str, str]]) -> Callable[[str], str]:
     """A function of a text that applies all corrections, each to what the ones before it left.
 
-    A match stands between spaces, and only marks may follow it at once. So the text
-    has the longest run of ``before`` as a run of its own, or, if that is its only one,
-    as the beginning of a run that goes on with a mark: only the corrections that are
-    found so, in the text or in what a correction before put there, are looked for.
+    A match stands between spaces, and only marks may follow it at once. So a
+    correction without spaces in ``before`` acts on each run between spaces by
+    itself: what becomes of a run is worked out once and kept, whatever the length
+    of the text. The others (``wide``) are looked for where the text, or what the
+    corrections make of its runs, has the longest run of ``before`` as a run of its
+    own or as the beginning of a run that goes on with a mark. A text that has none
+    is joined of its runs; in one that has, the corrections of runs stop at each.
     """
-    by_run = defaultdict(list)
+    single: dict[str, list[int]] = defaultdict(list)
+    wide: dict[str, list[int]] = defaultdict(list)
     loose = []
     for rank, (before, _) in enumerate(corrections):
         if not before:
             continue
-        if _GAPS.match(before[0]) or _GAPS.match(before[-1]) or not _first(before):
+        if not _GAPS.search(before):
+            single[before].append(rank)
+        elif _GAPS.match(before[0]) or _GAPS.match(before[-1]) or not _first(before):
             loose.append(rank)  # spaces at its edges: any text may hold it
         else:
-            by_run[_first(before)].append(rank)
+            wide[_first(before)].append(rank)
+
+    def heads(run: str) -> Iterator[str]:
+        """What a correction may match of a run: all of it, or what stands before a mark."""
+        yield run
+        for m in _MARKED.finditer(run):
+            yield run[: m.start()]
+
+    def corrected(run: str, least: int, most: int) -> tuple[str, frozenset[int]]:
+        """A run after the corrections of runs of ranks ``least`` to ``most``, and the wide ones that may match it on the way."""
+        seen, out, todo = set(), [], [(run, least)]
+        while todo:
+            piece, at = todo.pop()
+            if wide:
+                seen.update(r for h in heads(piece) for r in wide.get(h, ()))
+            rank = min((r for h in heads(piece) for r in single.get(h, ()) if at <= r < most), default=None)
+            if rank is None:
+                out.append(piece)
+                continue
+            before, after = corrections[rank]
+            pieces = _CUT.split(after + piece[len(before) :])
+            todo += [(p, rank + 1 if i % 2 == 0 else most) for i, p in enumerate(pieces) if p][::-1]
+        return "".join(out), frozenset(seen)
+
+    touched: dict[str, frozenset[int]] = {}
+
+    class Kept(dict):
+        """What becomes of pieces of a text; emptied when it is large."""
+
+        def __missing__(self, piece: str) -> str:
+            out, seen = corrected(piece, 0, len(corrections))
+            if seen:
+                touched[piece] = seen
+            if len(piece) <= LONG:
+                if len(self) >= KEPT:
+                    self.clear()
+                self[piece] = out
+            return out
 
-    def ranks_in(text: str) -> set[int]:
-        found = set()
-        for run in set(_GAPS.split(text)):
-            found.update(by_run.get(run, ()))
-            for m in _MARKED.finditer(run):
-                found.update(by_run.get(run[: m.start()], ()))
-        return found
+    kept = Kept()
+
+    def runs_of(text: str, least: int, most: int) -> str:
+        return "".join(piece if i % 2 or not piece else corrected(piece, least, most)[0] for i, piece in enumerate(_CUT.split(text)))
+
+    def wide_in(text: str, least: int) -> set[int]:
+        found = set().union(*(corrected(r, least, len(corrections))[1] for r in set(_GAPS.split(text)) if r))
+        return {r for r in found if r >= least}
 
     def run(text: str) -> str:
-        ranks = sorted(ranks_in(text) | set(loose))
+        pieces = _CUT.split(text)
+        done = "".join(map(kept.__getitem__, pieces))
+        ranks, at = sorted({*loose, *(r for p in pieces for r in touched.get(p, ()))}) if loose or touched else [], 0
+        if not ranks:
+            return done
         held = set(ranks)
         while ranks:
             rank = heappop(ranks)
-            before, after = corrections[rank]
-            new = _replaced(text, before, after)
-            if new == text:
-                continue
-            text = new
-            for r in ranks_in(text):  # what was put there may touch what stood beside it
-                if r > rank and r not in held:
+            text = runs_of(text, at, rank)
+            at = rank + 1
+            new = _replaced(text, *corrections[rank])
+            if new != text:
+                text = new
+                for r in wide_in(text, at) - held:  # what was put there may touch what stood beside it
                     held.add(r)
                     heappush(ranks, r)
-        return text
+        return runs_of(text, at, len(corrections))
 
     return run
 
 
+#: Runs whose corrected form a worker keeps, and the longest of them.
+KEPT, LONG = 100_000, 64
+_CUT = re.compile(f"({_GAPS.pattern})")
 _MARKED = re.compile("[\u1362-\u1368]")
 
 

@@ -118,6 +118,21 @@ def test_propagation(spark):
     assert {r.page_id: r.text for r in store.apply_ledger(p, c).collect()} == {0: "cow cats cow። cat.", 2: "cow", 3: "፡cow፡\u2003cow\x1c(cat)"}
 
 
+def test_runs_are_corrected_once_whatever_the_text_repeats(monkeypatch):
+    cases = [("a", "b c"), ("b", ""), ("b c", "a። a"), ("c", "d"), (" a", "x"), ("d።", "a"), ("a።d", "b")]
+    texts = ["a b c", "a። a c d።", " a a\u1361b c", "d። b c a", "", "b c b c።", "a።d a።d x"]
+    for n in range(len(cases) + 1):
+        for text in texts:
+            want = text
+            for before, after in cases[:n]:
+                want = store._replaced(want, before, after)
+            assert store.replay(cases[:n])(text) == want
+    chain = [(f"w{i}", f"w{i + 1}") for i in range(5000)]
+    looked = []
+    monkeypatch.setattr(store, "_replaced", lambda *a: looked.append(a))
+    assert store.replay(chain)("w0 w7። " * 1000) == "w5000 w5000። " * 1000 and not looked  # no pass over the text for each correction
+
+
 def test_the_whole_ledger_is_replayed(spark):
     """700 corrections, chains, joins and marks among them, against a plain fold."""
     r = random.Random(3)
