@@ -1,3 +1,4 @@
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -85,6 +86,14 @@ def test_sentences_and_ratio(spark):
     assert table(spark, script.ethiopic_ratio(T), ["ሰላም", "ሰabc", "", "12"]) == [1.0, 0.25, 0.0, 0.0]
 
 
+def test_usual_characters_between_words_meet_no_long_class(spark):
+    text = "".join(f"a{chr(p)}b{chr(p)} " for p in (*range(0x250), *range(0x1340, 0x1390), 0x200B, 0x2019, 0x3001, 0xAB01, 0x1E7E0))
+    assert one(spark, script.words(T), t=text) == re.findall(script.python_word_pattern(), text)
+    for c in " \n,.-12\u1361\u1362\u1369":
+        ruled_out = re.search(r"\(\?!(\[.*?\])\)", script.fast_word_pattern())[1]
+        assert re.match(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", ruled_out), c)
+
+
 def test_deletion_keys(spark):
     assert set(one(spark, script.deletion_keys(T), t="ሰላም")) == {"ላም", "ሰም", "ሰላ"}
     assert table(spark, script.deletion_keys(T), ["a", "", "x" * 25]) == [[], [], []]
