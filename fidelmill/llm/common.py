@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelmill.runtime import ship
+from fidelmill.runtime import new_dir, saved, shared_dir, ship  # noqa: F401  (the operators take them from here)
 
 #: Rows of a side that may be broadcast; a larger side is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -32,36 +30,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir`` or the context's checkpoint folder.
-
-    Without either a local session gets a temporary folder; a cluster gets an
-    error, since its executors would each write to a disk of their own.
-    """
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    where = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
-    if where is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="fidelmill-")
-    if not held.isDefined():
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: lineage ends there, and lost executors cost only their tasks."""
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared storage that no later plan reads."""
     jvm = spark.sparkContext._jvm

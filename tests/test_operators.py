@@ -5,6 +5,7 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
+from fidelmill.functions import distance, script
 from fidelmill.operators import document, geometry, issues, lexicon, quality, session, store, voting
 from fidelmill.operators.tokens import token_table, word_table, words_only
 from fidelmill.sources import text as source
@@ -45,6 +46,20 @@ def test_candidates(spark, lex, query, target):
     assert got[0].surface == target and [r.rank for r in got] == list(range(1, len(got) + 1))
 
 
+def test_all_candidates_are_found(spark):
+    words = ["ሰላም", "ሰላ", "ሸላም", "ላም", "ሰላምም", "ሀላም", "ረቅ" * 15, "ረቅ" * 15 + "ረ"]  # once each, two of them long
+    lex = lexicon.build(frame(spark, [(w, 1) for w in words], "word string, freq long"))
+    rows = {(r.word, r.surface): r.source for r in lexicon.pool(frame(spark, [("ሰላም",), ("ረቅ" * 15 + "ቅ",)], "word string"), lex).collect()}
+    assert {s for w, s in rows if w == "ሰላም"} == {"ሰላ", "ሸላም", "ላም", "ሰላምም", "ሀላም"}
+    assert {s for w, s in rows if w != "ሰላም"} == {"ረቅ" * 15, "ረቅ" * 15 + "ረ"}
+    rare = {(r.word, r.surface) for r in lexicon.pool(frame(spark, [("ሰላም",)], "word string"), lex, least=20).collect()}
+    assert ("ሰላም", "ሰላ") in rare and ("ሰላም", "ሰላምም") not in rare  # no deletions of rare words
+    costs = distance.Costs()
+    firsts = {c for c, (_, order) in script.syllables().items() if order == 0}
+    for c, near in lexicon.family_variants().items():
+        assert set(near) == {v for v, _ in costs.neighbors(c, 0.45, 1000)} & firsts
+
+
 def test_no_candidates_for_noise(spark, lex):
     assert lexicon.candidates(frame(spark, [("ቅቅቅቅቅቅ",)], "word string"), lex, cutoff=0.9).count() == 0
 
