@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fidelmill.plans import corpus
 from fidelmill.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +40,15 @@ def test_distances_and_readings_cover_the_lexicon(spark):
     assert {(r.a, r.b) for r in QUERIES["edit_distance"](spark, SF).collect()} == want
 
 
+@pytest.mark.parametrize("name", ["candidate_pool", "candidates_ranked", "frequency_lookup", "run_together", "split_words", "issue_totals"])
+def test_words_are_counted_once(spark, monkeypatch, name):
+    """Queries about distinct words count them once and keep the table; only words with places are cut again."""
+    counted = []
+    monkeypatch.setattr(corpus, "saved", lambda df, name: counted.append(name) or df)
+    QUERIES[name](spark, SF)
+    assert counted == ["word-counts"]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
