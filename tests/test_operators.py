@@ -212,6 +212,19 @@ def test_vote(spark, lex):
     assert [(x.text, x.n_readings) for x in got] == [("ሰላም", 1), ("ለሁሉም", 2)] and got[0].conf == 0.9 and 0.3 <= got[1].conf <= 1
 
 
+def test_readers_are_compared_where_pages_lie(spark):
+    """Rows of readings and readings page by page give the same words, and the latter are not shuffled."""
+    texts = {1: [["a", "b", "c", "d"], ["a", "x", "c", "d"], ["a", "b", "d"]], 2: [["a"], []], 3: [["a", "b"]]}
+    rows = [(p, e, i, w, i / 10) for p, readers in texts.items() for e, words in enumerate(readers) for i, w in enumerate(words)]
+    by_row = voting.aligned(frame(spark, rows, "page_id long, engine_rank int, word_idx int, text string, conf double"))
+    pages = [(p, list(range(len(r[0]))), [i / 10 for i in range(len(r[0]))], r) for p, r in texts.items()]
+    by_page = voting.compared(frame(spark, pages, "page_id long, word_idx array<int>, conf array<double>, texts array<array<string>>"))
+    want = [(1, 0, "a", 0.0, ["a", "a"]), (1, 1, "b", 0.1, ["x", "b"]), (1, 2, "c", 0.2, ["c"]), (1, 3, "d", 0.3, ["d", "d"]), (2, 0, "a", 0.0, []), (3, 0, "a", 0.0, []), (3, 1, "b", 0.1, [])]
+    for got in (by_row, by_page):
+        assert sorted((r.page_id, r.word_idx, r.text, r.conf, r.others) for r in got.collect()) == want
+    assert "Exchange" not in by_page._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sources(spark, tmp_path):
     t = frame(spark, [(1, "a\n\fb\n"), (2, "x\n--- Page 3 ---\ny"), (3, "plain"), (4, "")], "k long, text string")
     got = [(r.k, r.idx, r.label, r.text) for r in source.import_pages(t, "k").orderBy("k", "idx").collect()]
