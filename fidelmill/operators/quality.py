@@ -27,14 +27,14 @@ def grade(score: Column) -> Column:
     return out.otherwise("poor")
 
 
-def page_quality(pages: DataFrame, lexicon: DataFrame, issues: DataFrame | None = None, affixes: bool = True) -> DataFrame:
+def page_quality(pages: DataFrame, lexicon: DataFrame, issues: DataFrame | None = None, affixes: bool = True, seen: DataFrame | None = None) -> DataFrame:
     """A row of figures for each page (page_id, text, status, mean_conf): see the last select."""
     bad = f"[{script.classes()['other_ethiopic']}]"
     p = pages.select(
-        "page_id", "status", "mean_conf", F.length("text").alias("n_chars"), script.ethiopic_ratio(F.col("text")).alias("ratio"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("inked"),
+        "page_id", "status", "mean_conf", F.length("text").alias("n_chars"), script.ethiopic_ratio(F.col("text")).alias("ratio"), F.col("text").rlike(r"\S").alias("inked"),
         F.regexp_count("text", F.lit(bad)).alias("n_suspect"), F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(bad), F.lit(0)))).alias("suspect_kinds"),
     )
-    p = p.join(unknown_rates(pages, lexicon, affixes), "page_id", "left").na.fill(0, ["n_words", "n_unknown"])
+    p = p.join(unknown_rates(pages, lexicon, affixes, seen), "page_id", "left").na.fill(0, ["n_words", "n_unknown"])
     if issues is not None:
         counts = issues.groupBy("page_id").agg(F.count_if(F.col("severity") == "high").alias("high"), F.count_if(F.col("kind") == "run_together").alias("run"))
         p = p.join(counts, "page_id", "left").na.fill(0, ["high", "run"])
@@ -50,7 +50,7 @@ def page_quality(pages: DataFrame, lexicon: DataFrame, issues: DataFrame | None
         F.when((c("n_words") > 0) & (c("n_chars") / F.greatest(c("n_words"), F.lit(1)) > 24), "very long words — word separators may be missing"),
         F.when((c("mean_conf") > 0) & (c("mean_conf") < 0.6), "low recognizer confidence"),
         F.when(c("run") > 0, "run-together words"),
-        F.when((c("n_chars") > 0) & (c("inked") == ""), "blank"),
+        F.when((c("n_chars") > 0) & ~c("inked"), "blank"),
     )
     return p.select("page_id", "status", "n_chars", "n_words", "unknown_rate", "mean_conf", "ratio", "score", "high", grade(c("score")).alias("grade"), F.array_join(F.filter(flags, lambda x: x.isNotNull()), "; ").alias("flags"))
 

@@ -206,6 +206,17 @@ def test_characters_to_words(spark):
     assert [(r.text, r.line_idx, r.word_idx) for r in got] == [("ab", 0, 0), ("c", 0, 1), ("d", 1, 0)]
 
 
+def test_unknown_rates_look_up_usual_words_first(spark, monkeypatch):
+    """The same rates whether a known word is among the usual ones or not, with recognition at hand or not."""
+    held = frame(spark, [("ab", "ab", "ab", 5), ("cd", "cd", "cd", 4)], "surface string, folded string, skeleton string, freq long")
+    p = frame(spark, [(1, "ab cd xy ab xy"), (2, "cd"), (3, ""), (4, None)], "page_id long, text string")
+    seen = frame(spark, [("ab", True), ("cd", True), ("xy", False)], "word string, known boolean")
+    for most in (1, 100):
+        monkeypatch.setattr(lexicon, "USUAL", most)
+        for s in (None, seen):
+            assert sorted((r.page_id, r.n_words, r.n_unknown) for r in lexicon.unknown_rates(p, held, seen=s).collect()) == [(1, 5, 2), (2, 1, 0)]
+
+
 def test_vote(spark, lex):
     r = frame(spark, [(1, 0, 0, "ሰላም", 0.9), (1, 0, 1, "ለሁላም", 0.9), (1, 1, 0, "ሰላም", 0.9), (1, 1, 1, "ለሁሉም", 0.9)], "page_id long, engine_rank int, word_idx int, text string, conf double")
     got = voting.voted(r, lex).orderBy("word_idx").collect()

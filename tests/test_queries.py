@@ -49,6 +49,14 @@ def test_words_are_counted_once(spark, monkeypatch, name):
     assert counted == ["word-counts"]
 
 
+@pytest.mark.parametrize("name", ["unknown_words", "page_quality", "worst_pages", "book_quality", "recognized_with_affixes", "edit_distance", "low_confidence", "vote_words"])
+def test_quality_takes_recognition_from_counted_words(spark, monkeypatch, name):
+    counted = []
+    monkeypatch.setattr(corpus, "saved", lambda df, name: counted.append(name) or df)
+    QUERIES[name](spark, SF)
+    assert counted == ["word-counts"]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
