@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fidelmill.functions import distance, script
-from fidelmill.operators import document, geometry, issues, lexicon, quality, session, store, voting
+from fidelmill.operators import document, geometry, issues, lexicon, quality, session, store, tokens, voting
 from fidelmill.operators.tokens import token_table, word_table, words_only
 from fidelmill.sources import text as source
 from fidelmill.streaming import corrections
@@ -206,6 +206,20 @@ def test_characters_to_words(spark):
     assert [(r.text, r.line_idx, r.word_idx) for r in got] == [("ab", 0, 0), ("c", 0, 1), ("d", 1, 0)]
 
 
+def test_words_with_their_neighbours(spark):
+    """Words cut with their neighbours are those that a window over each page would give, and no page is shuffled for them."""
+    p = frame(spark, [(1, "ab ab cd"), (2, "x"), (3, ""), (4, None), (5, "cd ab")], "page_id long, text string")
+    got = tokens.context_table(p)
+    assert sorted((r.page_id, r.word_no, r.start, r.end, r.word, r.previous or "", r.next or "", r.next_end or -1) for r in got.collect()) == [
+        (1, 0, 0, 2, "ab", "", "ab", 5), (1, 1, 3, 5, "ab", "ab", "cd", 8), (1, 2, 6, 8, "cd", "ab", "", -1), (2, 0, 0, 1, "x", "", "", -1), (5, 0, 0, 2, "cd", "", "ab", 5), (5, 1, 3, 5, "ab", "cd", "", -1),
+    ]
+    found = issues.repeated_words(got)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.collect() == issues.repeated_words(tokens.word_table(p)).collect()
+    pairs = lambda d: {(r.w1, r.w2): r.freq for r in d.collect()}
+    assert pairs(issues.bigrams_of(got)) == pairs(lexicon.bigrams(p))
+
+
 def test_unknown_rates_look_up_usual_words_first(spark, monkeypatch):
     """The same rates whether a known word is among the usual ones or not, with recognition at hand or not."""
     held = frame(spark, [("ab", "ab", "ab", 5), ("cd", "cd", "cd", 4)], "surface string, folded string, skeleton string, freq long")
