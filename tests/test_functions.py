@@ -1,13 +1,15 @@
+import random
 import re
 import unicodedata
 from functools import lru_cache
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fidelmill.functions import distance, morph, normalize, script, translit
+from fidelmill.functions import codes, distance, morph, normalize, script, translit
 
 
 def one(spark, column, **values):
@@ -215,3 +217,18 @@ def test_typing_rewrites_what_stands():
     t.reset()
     assert t.feed("a") == (0, "አ", True) and t.feed("1") == (0, "", False) and t.feed("lw") == (0, "", False)
     assert translit.typed_text("law") == "ሏ" and translit.typed_text("a b") == "አ ብ"
+
+
+def test_spelling_by_arrays_cuts_as_the_pattern():
+    """Texts spelt together, each as the regular expression cuts it from the left; nulls, empty texts and long ones too."""
+    cut, spelt = re.compile(translit.pattern()), translit.token_map()
+    r = random.Random(7)
+    keys = "sstzhhTSwwaaAWWAeuiEIokKnychq`xX:::---,;? \nlé\U0001e7e0b"
+    texts = ["", None, "wawawawa", "lawawaWAwa", "tshtzhsshTSH", "::-:-:---::", "khuwa`ewa", *("".join(r.choice(keys) for _ in range(r.randrange(20))) for _ in range(3000)), "".join(r.choice(keys) for _ in range(codes.CHARACTERS + 9))]
+    out = []
+    for at, held in codes.parcels(pa.array(texts)):
+        assert at == len(out) and (len(held) == 1 or sum(len(t or "") for t in held) <= codes.CHARACTERS)
+        got, ends = translit.spelt(*codes.joined(held))
+        got = got.tobytes().decode("utf-32-le")
+        out += [got[a:b] for a, b in zip([0, *(ends[:-1] + 1)], ends)]
+    assert out == [cut.sub(lambda m: spelt.get(m[0], m[0]), t or "") for t in texts]
