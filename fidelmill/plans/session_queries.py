@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from fidelmill.functions import normalize, script, translit
 from fidelmill.operators import document, geometry, quality, session, store
 from fidelmill.operators import lexicon as lex
-from fidelmill.operators.tokens import word_table, words_only
-from fidelmill.plans.corpus import BOXES_SQL, EDITS_SQL, MARKED_SQL, STORE_SQL, boxes, edits, fold_sql, lexicon, lexicon_cte, load, marked_pages, pages, raw_pages, store_pages, text_of, tokens_cte, with_pages, words_cte
+from fidelmill.operators.tokens import words_only
+from fidelmill.plans.corpus import BOXES_SQL, EDITS_SQL, MARKED_SQL, STORE_SQL, boxes, edits, fold_sql, lexicon, lexicon_cte, load, marked_pages, pages, placed_words, raw_pages, store_pages, text_of, tokens_cte, with_pages, words_cte
 from fidelmill.plans.queries import _first_words, query
 from fidelmill.sources import text as source
 
@@ -166,7 +166,7 @@ def search_results(spark, sf):
 @query("word_under_cursor", with_pages('SELECT c.page_id, c.a AS at, c.word, c.f IN (SELECT folded FROM lexicon) AS known FROM (SELECT page_id, a, arg_min(word, start) AS word, ' + fold_sql("arg_min(word, start)") + ' AS f FROM placed_words, (VALUES (0), (40), (400)) t(a) WHERE start <= a AND a <= "end" GROUP BY page_id, a) c', tokens_cte(), words_cte(), lexicon_cte()))
 def word_under_cursor(spark, sf):
     places = raw_pages(spark, sf).select("page_id", F.explode(F.array(F.lit(0), F.lit(40), F.lit(400))).alias("at"))
-    return session.under_cursor(places, word_table(pages(spark, sf)), lexicon(spark, sf))
+    return session.under_cursor(places, placed_words(spark, sf), lexicon(spark, sf))
 
 
 # ---- geometry and documents --------------------------------------------------------------------------------------------

@@ -57,6 +57,13 @@ def test_quality_takes_recognition_from_counted_words(spark, monkeypatch, name):
     assert counted == ["word-counts"]
 
 
+@pytest.mark.parametrize("name", ["tokenize_offsets", "mixed_script", "boxes_at_point", "word_at_offset", "issue_box_overlap"])
+def test_words_are_spelt_and_cut_by_one_worker(spark, name):
+    """No text goes to a second Python worker between its spelling and its words."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
