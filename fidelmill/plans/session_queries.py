@@ -11,6 +11,7 @@ from fidelmill.operators import lexicon as lex
 from fidelmill.operators.tokens import words_only
 from fidelmill.plans.corpus import BOXES_SQL, EDITS_SQL, MARKED_SQL, STORE_SQL, boxes, edits, fold_sql, lexicon, lexicon_cte, load, marked_pages, pages, placed_words, raw_pages, store_pages, text_of, tokens_cte, with_pages, words_cte
 from fidelmill.plans.queries import _first_words, query
+from fidelmill.runtime import saved
 from fidelmill.sources import text as source
 
 _STORE = "pages AS (SELECT doc_id AS page_id, source AS book, text FROM documents)"
@@ -198,8 +199,9 @@ def drop_lines(spark, sf):
     b = boxes(spark, sf)
     tag = F.when(F.col("line_idx") % 3 == 1, F.lit("stamp")).otherwise(F.concat(F.lit("line"), F.col("line_idx").cast("string")))
     named = b.withColumn("text", F.when(F.col("word_idx") == 0, tag).otherwise("x"))
-    stamps = geometry.lines(named).where("text like 'stamp%'").select(F.col("text").alias("line")).distinct()
-    return geometry.without_lines(named, stamps).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.max("line_idx").alias("last_line"))
+    lines = saved(geometry.by_line(named.select("page_id", "line_idx", "word_idx", "text")), "lines")
+    stamps = lines.where("line like 'stamp%'").select("line").distinct()
+    return geometry.without_lines(lines, stamps).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.max("line_idx").alias("last_line"))
 
 
 @query("training_lines", with_pages("SELECT b.page_id, count(DISTINCT b.line_idx) AS n FROM boxes b JOIN store s USING (page_id) WHERE s.status = 'verified' AND length(trim(string_split(s.text, chr(10))[b.line_idx + 1])) > 0 GROUP BY b.page_id", tokens_cte(), STORE_SQL, BOXES_SQL))

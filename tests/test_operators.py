@@ -416,3 +416,11 @@ def test_issues_weigh_on_quality(spark, lex):
     p = pages_of(spark, "ሰላም ነው ሰላም", "ሰላም ነው ሰላam").withColumn("status", F.lit("new")).withColumn("mean_conf", F.lit(0.9))
     plain, weighed = ({r.page_id: r for r in quality.page_quality(p, lex, i).collect()} for i in (None, issues.detected(p, lex)))
     assert weighed[0].score == plain[0].score and weighed[1].high >= 1 and weighed[1].score == pytest.approx(plain[1].score - 0.02 * weighed[1].high)
+
+
+def test_words_without_boilerplate_lines(spark):
+    words = [(1, 0, 1, "b", 7), (1, 0, 0, "a", 6), (1, 1, 0, "stamp", 5), (1, 2, 0, " c", 4), (2, 0, 0, "stamp", 3), (2, 5, 0, "d", 2), (2, 5, 0, "a", 1)]
+    lines = geometry.by_line(frame(spark, words, "page_id long, line_idx int, word_idx int, text string, x int"))
+    assert {(r.page_id, r.line_idx, r.line) for r in lines.collect()} == {(1, 0, "a b"), (1, 1, "stamp"), (1, 2, "c"), (2, 0, "stamp"), (2, 5, "a d")}
+    got = geometry.without_lines(lines, frame(spark, [(" stamp ",), ("",), (None,)], "line string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 0, "a", 6), (1, 0, 1, "b", 7), (1, 1, 0, " c", 4), (2, 0, 0, "a", 1), (2, 0, 0, "d", 2)]

@@ -4,8 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from fidelmill.plans import corpus
+from fidelmill.plans import corpus, session_queries
 from fidelmill.plans.queries import ORACLES, QUERIES
+from fidelmill.runtime import saved
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,6 +65,13 @@ def test_words_are_spelt_and_cut_by_one_worker(spark, name):
     assert "MapInArrow" in plan and "EvalPython" not in plan
 
 
+def test_lines_are_grouped_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(session_queries, "saved", lambda df, name: kept.append(name) or saved(df, name))
+    plan = QUERIES["drop_lines"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert kept == ["lines"] and "MapInArrow" not in plan and "SortMergeJoin" not in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
