@@ -232,3 +232,10 @@ def test_spelling_by_arrays_cuts_as_the_pattern():
         got = got.tobytes().decode("utf-32-le")
         out += [got[a:b] for a, b in zip([0, *(ends[:-1] + 1)], ends)]
     assert out == [cut.sub(lambda m: spelt.get(m[0], m[0]), t or "") for t in texts]
+
+
+def test_composition_and_spelling_share_a_worker(spark):
+    p = spark.createDataFrame([("selam xe\u0301 A\u030a",), (None,)], "t string").repartition(2)
+    p = p.select(normalize.normalize(translit.transliterate(T)).alias("t"))
+    assert p._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {x.t for x in p.collect()} == {unicodedata.normalize("NFC", translit.transliterate_text("selam xe\u0301 A\u030a")), None}
