@@ -9,7 +9,7 @@ from fidelmill.functions import normalize, script, translit
 from fidelmill.operators import document, geometry, quality, session, store
 from fidelmill.operators import lexicon as lex
 from fidelmill.operators.tokens import words_only
-from fidelmill.plans.corpus import BOXES_SQL, EDITS_SQL, MARKED_SQL, STORE_SQL, boxes, edits, fold_sql, lexicon, lexicon_cte, load, marked_pages, pages, placed_words, raw_pages, store_pages, text_of, tokens_cte, with_pages, words_cte
+from fidelmill.plans.corpus import BOXES_SQL, EDITS_SQL, MARKED_SQL, STORE_SQL, boxes, counted, edits, fold_sql, lexicon, lexicon_cte, load, marked_pages, pages, placed_words, raw_pages, store_pages, text_of, tokens_cte, with_pages, words_cte
 from fidelmill.plans.queries import _first_words, query
 from fidelmill.runtime import saved
 from fidelmill.sources import text as source
@@ -299,7 +299,7 @@ def seed_lexicon(spark, sf):
 
 @query("lexicon_from_sources", with_pages("SELECT surface, sum(freq)::BIGINT AS freq FROM (SELECT surface, max([10000, 3000, 800, 200][(tier + 1)::INTEGER])::BIGINT AS freq FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS surface, item_id % 4 AS tier FROM benchmark) GROUP BY surface UNION ALL SELECT word, count(*) FROM words GROUP BY word HAVING count(*) >= 3) GROUP BY surface", words_cte()))
 def lexicon_from_sources(spark, sf):
-    return lex.from_sources(lex.seeded(_seed(spark, sf)), lex.count_words(words_only(pages(spark, sf)))).select("surface", "freq")
+    return lex.from_sources(lex.seeded(_seed(spark, sf)), counted(spark, sf)).select("surface", "freq")
 
 
 def _seed(spark, sf) -> DataFrame:

@@ -60,6 +60,23 @@ def test_all_candidates_are_found(spark):
         assert set(near) == {v for v, _ in costs.neighbors(c, 0.45, 1000)} & firsts
 
 
+def test_long_words_are_found_by_hashed_forms(spark, lex):
+    """Forms at and beyond the longest that is a key as it is, one character shorter, longer or another."""
+    rows = [(a + b, a + b, a + b, 5) for a in ("ሰላም" * 21, "ሰላም" * 22) for b in ("", "ለ", "ለሀ", "ለሁ", "ለሁለ")]
+    lex = frame(spark, rows, "surface string, folded string, skeleton string, freq long")
+    words = [r[0] for r in rows]
+    cut = lambda w: {w[:i] + w[i + 1 :] for i in range(len(w))}
+    want = {(a, b) for a in words for b in words if a != b and (cut(a) & cut(b) or a in cut(b) or b in cut(a))}
+    got = {(r.word, r.surface) for r in lexicon.pool(frame(spark, [(w,) for w in words], "word string"), lex).collect()}
+    assert want and got == want
+
+
+def test_candidates_are_looked_up_without_sorting_and_shuffled_once(spark, lex):
+    plan = lexicon.candidates(frame(spark, [("ሰላም",)], "word string"), lex)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+    assert plan.count("REPARTITION_BY_COL") == 1
+
+
 def test_no_candidates_for_noise(spark, lex):
     assert lexicon.candidates(frame(spark, [("ቅቅቅቅቅቅ",)], "word string"), lex, cutoff=0.9).count() == 0
 

@@ -4,6 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fidelmill.functions.translit import spelt, transliterate
+from fidelmill.operators import lexicon as lex
+from fidelmill.operators.tokens import counted_words, words_only
 from fidelmill.plans import corpus, session_queries
 from fidelmill.plans.queries import ORACLES, QUERIES
 from fidelmill.runtime import saved
@@ -65,6 +68,20 @@ def test_words_are_spelt_and_cut_by_one_worker(spark, name):
     assert "MapInArrow" in plan and "EvalPython" not in plan
 
 
+@pytest.mark.parametrize("name", ["stems_of_words", "lexicon_from_sources", "lexicon_build", "lexicon_merge", "known_words"])
+def test_words_are_spelt_cut_and_counted_by_one_worker(spark, name):
+    """Neither texts nor words that are only counted pass the JVM."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
+
+
+def test_counts_of_batches_are_those_of_all_words(spark):
+    rows = [(1, "selam lehulum selam"), (2, None), (3, ""), (4, "..., 12"), (5, "a\U0001f600b selam::lehulum é"), (6, "selam " * 30_000)]
+    texts = spark.createDataFrame(rows, "page_id long, text string").repartition(2)
+    own = {r.word: r.freq for r in lex.summed(counted_words(texts, spelt)).collect()}
+    assert own == {r.word: r.freq for r in lex.count_words(words_only(texts.withColumn("text", transliterate("text")))).collect()} and own["ሰላም"] > 30_000
+
+
 def test_lines_are_grouped_once(spark, monkeypatch):
     kept = []
     monkeypatch.setattr(session_queries, "saved", lambda df, name: kept.append(name) or saved(df, name))
